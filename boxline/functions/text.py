@@ -11,12 +11,12 @@ ID_NULL_TOKENS = ("", "nan", "none", "null", "<na>")
 UNKNOWN_TOKENS = ("", "unknown", "unmatched", "none", "nan", "<na>")
 UNKNOWN_LABEL = "Unknown / unmatched"
 
-BOM = "﻿"
+BOM = "\ufeff"
 # Every character that counts as white space in Unicode text.
 WHITESPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85  "
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     + "".join(chr(code) for code in range(0x2000, 0x200B))
-    + "    　"
+    + "\u2028\u2029\u202f\u205f\u3000"
 )
 
 

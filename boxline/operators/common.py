@@ -69,6 +69,16 @@ def scalars(df: DataFrame, **columns: Column) -> Column:
     return one.select(F.struct(*columns)).scalar()
 
 
+def attach(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row.
+
+    The row is read once, as one scalar subquery held in a column of its own.
+    """
+    names = row.columns
+    held = df.withColumn("_scalars", row.select(F.struct(*names)).scalar())
+    return held.select(*df.columns, *[F.col(f"_scalars.{n}").alias(n) for n in names])
+
+
 def number_spine(spark, low: int, high: int, name: str) -> DataFrame:
     return spark.range(low, high + 1).select(F.col("id").cast("int").alias(name))
 

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from boxline.functions import dates, keys, windows
 from boxline.functions.numbers import safe_index, safe_ratio
 from boxline.operators import segments as seg
-from boxline.operators.common import scalars
 from boxline.operators.customers import add_behaviour
 from boxline.operators.filters import ALL
-from boxline.operators.summaries import current_window, next_fixture
+from boxline.operators.summaries import next_fixture
 
 # Index levels, statuses and their rank in reports.
 THRESHOLDS = {"ahead": 1.10, "on_track": 0.95, "watch": 0.85, "behind": 0.70}
@@ -105,19 +104,17 @@ def index_measures(
     if competition != ALL:
         own = own.filter(F.col("competition") == competition)
         rows = rows.filter(F.col("competition") == competition)
-    point = next_fixture(own, as_at, "event_date")
-    days_left = point.getField("same_point")
-
-    chosen = baseline_seasons(rows, current_label, baseline)
-    picked = scalars(chosen, labels=F.array_agg("season_label"), n=F.count(F.lit(1)))
-    season_count, labels = picked.getField("n"), picked.getField("labels")
+    point = next_fixture(own, as_at, "event_date").select("same_point", "current_sales_window")
+    chosen = baseline_seasons(rows, current_label, baseline).agg(F.array_agg("season_label").alias("v"))
+    labels = chosen.scalar()
     is_current = F.col("season_label") == current_label
     rows = rows.filter(
         (is_current & (F.col("transaction_date") <= at.cast("timestamp_ntz"))) | (~is_current & F.array_contains(labels, F.col("season_label")))
     )
     out = dates.floor_days("match_date", "transaction_date")
+    days_left = F.col("_days_left")
     by_now = is_current | (days_left <= 0) | (F.coalesce(out, F.lit(-9999)) >= days_left)
-    rows = rows.withColumn("by_now", by_now)
+    rows = rows.withColumn("_days_left", point.select("same_point").scalar()).withColumn("by_now", by_now).drop("_days_left")
 
     if customers is not None:
         rows = add_behaviour(rows, customers)
@@ -130,13 +127,14 @@ def index_measures(
         cuts = seg.exact_quantile(phases, "_value", seg.HIGH_VALUE_QUANTILE, ["_current"], name="v")
         pick = lambda current: F.max(F.when(F.col("_current") == F.lit(current), F.col("v")))
         both = cuts.agg(F.struct(pick(True).alias("now"), pick(False).alias("past")).alias("s")).scalar()
-        cut = F.when(is_current, both.getField("now")).otherwise(both.getField("past"))
-    slim = rows.select(
+        rows = rows.withColumn("_cuts", both)
+        rows = rows.withColumn("_cut", F.when(is_current, F.col("_cuts.now")).otherwise(F.col("_cuts.past"))).drop("_cuts")
+        cut = F.col("_cut")
+    keep = [
         "season_label", "customer_id", "order_id", "usual_purchase_window", "sales_window", "by_now",
         "paid_tickets_sold", "comp_tickets_sold", "tickets_sold", "gross_revenue",
-        seg.group_labels(rows, kind, cut).alias("_labels"),
-    )
-    fanned = slim.withColumn("analysis_group", F.explode("_labels")).drop("_labels")
+    ]
+    fanned = seg.with_groups(rows, kind, keep, cut)
 
     parts = _group_measures(fanned)
     # Usual windows are counted over the baseline seasons as a whole.
@@ -146,34 +144,30 @@ def index_measures(
         *[F.sum(c).alias(c) for c in ("paid", "comps", "tickets", "revenue", "orders", "purchasers")],
         *[F.sum(c).alias(c) for c in ("paid_now", "tickets_now", "revenue_now", "purchasers_now")],
     )
-    now = lambda c: F.coalesce(F.max(F.when(~F.col("_past") & (F.col("_kind") == "sums"), F.col(c))).cast("double"), F.lit(0.0))
-    mean = lambda c: F.coalesce(
-        F.max(F.when(F.col("_past") & (F.col("_kind") == "sums"), F.col(c))).cast("double") / F.when(season_count > 0, season_count), F.lit(0.0)
-    )
+    sums = F.col("_kind") == "sums"
+    of = lambda past, c: F.coalesce(F.max(F.when((F.col("_past") == F.lit(past)) & sums, F.col(c))).cast("double"), F.lit(0.0))
     past_mode = lambda kind_name: F.min_by(
         "_value", F.when(F.col("_past") & (F.col("_kind") == kind_name) & F.col("_value").isNotNull(), F.struct(-F.col("_n"), F.col("_value")))
     )
-    return values.groupBy("analysis_group").agg(
-        now("paid").alias("current_paid_tickets"),
-        now("comps").alias("current_comps"),
-        now("tickets").alias("current_total_tickets"),
-        now("revenue").alias("current_revenue"),
-        now("purchasers").alias("current_unique_purchasers"),
-        now("orders").alias("_orders"),
-        mean("paid").alias("expected_final_paid_tickets"),
-        mean("purchasers").alias("_expected_final_purchasers"),
-        mean("paid_now").alias("expected_paid_tickets_by_now"),
-        mean("tickets_now").alias("expected_total_tickets_by_now"),
-        mean("revenue_now").alias("expected_revenue_by_now"),
-        mean("purchasers_now").alias("expected_purchasers_by_now"),
+    current = {
+        "current_paid_tickets": "paid", "current_comps": "comps", "current_total_tickets": "tickets",
+        "current_revenue": "revenue", "current_unique_purchasers": "purchasers", "_orders": "orders",
+    }
+    expected = {
+        "expected_final_paid_tickets": "paid", "_expected_final_purchasers": "purchasers",
+        "expected_paid_tickets_by_now": "paid_now", "expected_total_tickets_by_now": "tickets_now",
+        "expected_revenue_by_now": "revenue_now", "expected_purchasers_by_now": "purchasers_now",
+    }
+    groups = values.groupBy("analysis_group").agg(
+        *[of(False, c).alias(name) for name, c in current.items()],
+        *[of(True, c).alias(name) for name, c in expected.items()],
         F.coalesce(past_mode("usual"), past_mode("window"), F.lit("Unknown")).alias("usual_purchase_window"),
         F.max("_past").alias("_has_past"),
-    ).withColumns(
-        {
-            "_seasons": F.when(F.col("_has_past"), season_count).otherwise(0),
-            "current_sales_window": current_window(point),
-        }
     )
+    # A season without the group counts as 0, so every mean has the same divisor.
+    groups = groups.withColumn("_n", F.size(labels)).withColumn("current_sales_window", point.select("current_sales_window").scalar())
+    means = {name: F.when(F.col("_n") > 0, F.col(name) / F.col("_n")).otherwise(0.0) for name in expected}
+    return groups.withColumns(means | {"_seasons": F.when(F.col("_has_past"), F.col("_n")).otherwise(0)})
 
 
 def segment_status(

@@ -172,23 +172,27 @@ SEGMENT_PRODUCT = GroupKind("segment_product", uses_segments=True, product=True)
 KINDS = {kind.name: kind for kind in (SEGMENT, TICKET_TYPE, TICKET_CLASS, SEGMENT_PRODUCT)}
 
 
-def group_labels(df: DataFrame, kind: GroupKind, high_value_from: Column | None = None) -> Column:
-    """Array of the index groups a row belongs to."""
+def with_groups(df: DataFrame, kind: GroupKind, keep: list[str], high_value_from: Column | None = None) -> DataFrame:
+    """One copy of a row per index group it belongs to, with the kept columns only.
+
+    Columns are dropped before the rows multiply.
+    """
+    has_class = has(df, "ticket_class")
+    product = F.coalesce(F.col("ticket_class"), F.lit("Unknown")) if has_class else F.lit("Unknown")
     if kind.uses_segments:
         labels = labels_of(ticket_segments(df, high_value_from))
+        rows = df.select(*keep, labels.alias("_labels"), product.alias("_product"))
+        rows = rows.select(*keep, "_product", F.explode("_labels").alias("analysis_group"))
         if kind.product:
-            product = F.coalesce(F.col("ticket_class"), F.lit("Unknown")) if has(df, "ticket_class") else F.lit("Unknown")
-            return F.transform(labels, lambda label: F.concat(label, F.lit(" x "), product))
-        return labels
+            rows = rows.withColumn("analysis_group", F.concat("analysis_group", F.lit(" x "), "_product"))
+        return rows.drop("_product")
     if kind is TICKET_TYPE:
         name = "price_type" if has(df, "price_type") else "ticket_type"
-    else:
-        name = "ticket_class"
-    return F.array(F.coalesce(F.col(name), F.lit("Unknown")) if has(df, name) else F.lit("Unknown"))
+        product = F.coalesce(F.col(name), F.lit("Unknown")) if has(df, name) else F.lit("Unknown")
+    return df.select(*keep, product.alias("analysis_group"))
 
 
 def segment_fanout(tickets: DataFrame, customers: DataFrame) -> DataFrame:
     """One copy of each ticket row per segment it belongs to."""
     rows = add_behaviour(tickets, customers)
-    labels = group_labels(rows, SEGMENT, high_value_threshold(rows))
-    return rows.withColumn("analysis_group", labels).withColumn("analysis_group", F.explode("analysis_group"))
+    return with_groups(rows, SEGMENT, rows.columns, high_value_threshold(rows))

@@ -6,34 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from boxline.functions import dates, keys, seasons, windows
+from boxline.functions import dates, keys, windows
 from boxline.functions.numbers import safe_ratio
-from boxline.operators.common import column_or, has, running, scalars, total
+from boxline.operators.common import attach, has, running, total
 from boxline.operators.customers import first_season
 from boxline.operators.filters import value_column
 
 
-def next_fixture(fixtures: DataFrame, as_at, date_column: str = "match_date") -> Column:
-    """Days to the next fixture, and to the same point of the season.
+def next_fixture(fixtures: DataFrame, as_at, date_column: str = "match_date") -> DataFrame:
+    """Where a snapshot stands before its next fixture, as one row.
 
     ``to_next`` is null without a future fixture; ``same_point`` then counts to
     the last fixture and never goes below 0.
     """
     d = F.col(date_column).cast("date")
     at = dates.date_lit(as_at)
-    future = F.min(F.when(d >= at, d))
-    return scalars(
-        fixtures,
-        has_fixtures=F.count(d) > 0,
-        to_next=F.date_diff(future, at),
-        same_point=F.greatest(F.coalesce(F.date_diff(F.coalesce(future, F.max(d)), at), F.lit(0)), F.lit(0)),
+    row = fixtures.agg(F.count(d).alias("n"), F.min(F.when(d >= at, d)).alias("next"), F.max(d).alias("last"))
+    return row.select(
+        F.date_diff("next", at).alias("to_next"),
+        F.greatest(F.coalesce(F.date_diff(F.coalesce("next", "last"), at), F.lit(0)), F.lit(0)).alias("same_point"),
+        windows.window_of_snapshot(F.col("n") > 0, F.date_diff("next", at)).alias("current_sales_window"),
     )
 
 
-def current_window(next_point: Column) -> Column:
-    return windows.window_of_snapshot(next_point.getField("has_fixtures"), next_point.getField("to_next"))
-
-
 def kpi_summary(
     tickets: DataFrame, all_tickets: DataFrame, fixtures: DataFrame,
     forecast_total: float = 0.0, target_total: float = 0.0, as_at=None,
@@ -46,10 +41,10 @@ def kpi_summary(
         .scalar()
     )
     buyers = pairs.select("customer_id").distinct().join(first_season(all_tickets), "customer_id", "left")
-    is_new = F.coalesce(F.col("first_season") == busiest, F.lit(False))
-    loyalty = scalars(buyers, customers=F.count(F.lit(1)), new=F.count_if(is_new))
-    point = next_fixture(fixtures, as_at)
-    capacity = fixtures.agg(F.sum("capacity_total").cast("double").alias("v")).scalar()
+    is_new = F.coalesce(F.col("first_season") == F.col("busiest"), F.lit(False))
+    loyalty = buyers.withColumn("busiest", busiest).agg(F.count(F.lit(1)).alias("_customers"), F.count_if(is_new).alias("_new"))
+    point = next_fixture(fixtures, as_at).select("to_next")
+    capacity = fixtures.agg(F.sum("capacity_total").cast("double").alias("_capacity"))
 
     sums = tickets.agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -61,9 +56,11 @@ def kpi_summary(
         F.greatest(F.count_distinct("order_id"), F.lit(1)).alias("_orders"),
         F.count_distinct("customer_id").cast("double").alias("unique_purchasers"),
     )
+    for row in (loyalty, point, capacity):
+        sums = attach(sums, row)
     paid = F.col("paid_tickets_sold")
-    days = F.when(F.col("_rows") > 0, F.coalesce(point.getField("to_next"), F.lit(0))).otherwise(0)
-    customers, new = loyalty.getField("customers"), loyalty.getField("new")
+    days = F.when(F.col("_rows") > 0, F.coalesce("to_next", F.lit(0))).otherwise(0)
+    customers, new = F.col("_customers"), F.col("_new")
     gap = F.greatest(F.lit(float(target_total)) - paid, F.lit(0.0)) / F.greatest(days, F.lit(1))
     required = F.when(F.col("_rows") > 0, gap).otherwise(0.0) if target_total else F.lit(0.0)
     return sums.select(
@@ -78,7 +75,7 @@ def kpi_summary(
         F.lit(float(forecast_total - target_total)).alias("gap_to_target"),
         required.alias("required_daily_run_rate"),
         days.cast("double").alias("days_to_next_fixture"),
-        F.when(F.col("_rows") > 0, safe_ratio(F.col("tickets_sold"), capacity, None) * 100).alias("capacity_sold_pct"),
+        F.when(F.col("_rows") > 0, safe_ratio(F.col("tickets_sold"), F.col("_capacity"), None) * 100).alias("capacity_sold_pct"),
     )
 
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from boxline.functions import dates, keys, seasons, windows
+from boxline.operators import customers, matches
+from boxline.sources.session import new_path
 
 YEAR_SHIFT = 24
 PLANNING_LABEL = "2024/25"
@@ -18,6 +20,7 @@ PLANNING_SEASON = 2024
 AS_AT = "2024-11-15"
 BASELINE = ("2021/22", "2022/23", "2023/24")
 SALT = "boxline"
+FILES_PER_SEASON = 8
 
 TICKET_CLASS = {
     "STANDARD": "General Admission",
@@ -160,15 +163,64 @@ def customer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """The ticket model at one snapshot date."""
+    """The processed ticket model.
+
+    ``tickets`` holds everything; ``snapshot`` what was sold by the snapshot
+    date. Matches and daily sales belong to the snapshot.
+    """
 
     tickets: DataFrame
-    snapshot: DataFrame
     fixtures: DataFrame
     customers: DataFrame
+    matches: DataFrame
+    daily: DataFrame
+
+    @property
+    def snapshot(self) -> DataFrame:
+        return at_snapshot(self.tickets)
+
+    @property
+    def planned(self) -> DataFrame:
+        return self.matches.filter(F.col("season_label") == PLANNING_LABEL)
+
+    @property
+    def upcoming(self) -> DataFrame:
+        return self.planned.filter(F.col("event_date") > dates.date_lit(AS_AT))
+
+
+def at_snapshot(tickets: DataFrame) -> DataFrame:
+    return tickets.filter(F.col("transaction_date") <= dates.midnight(AS_AT))
+
+
+_LOADED: dict[tuple[str, str], str] = {}
+
+
+def load(spark: SparkSession, sf_dir: str) -> Model:
+    """Processed tables of a data directory, written once per application.
+
+    Tickets are laid out by season, so season filters prune files.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        folder = new_path(spark, "processed")
+        _write(spark, sf_dir, folder)
+        _LOADED[key] = folder
+    read = lambda name: spark.read.parquet(f"{_LOADED[key]}/{name}")
+    return Model(*[read(name) for name in ("tickets", "fixtures", "customers", "matches", "daily")])
+
 
+def _write(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    def put(name: str, df: DataFrame, *layout: str) -> DataFrame:
+        if layout:
+            # A few files per season, however large one season is.
+            df = df.withColumn("_spread", F.pmod(F.xxhash64("transaction_id"), F.lit(FILES_PER_SEASON)))
+            df = df.repartition(*[F.col(c) for c in layout], "_spread").drop("_spread")
+        df.write.mode("overwrite").partitionBy(*layout).parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
 
-def model(spark: SparkSession, sf_dir: str) -> Model:
-    tickets = transactions(spark, sf_dir)
-    snapshot = tickets.filter(F.col("transaction_date") <= dates.midnight(AS_AT))
-    return Model(tickets, snapshot, fixtures(tickets), customer_file(spark, sf_dir))
+    tickets = put("tickets", customers.purchase_status(transactions(spark, sf_dir)), "season_label")
+    listed = put("fixtures", fixtures(tickets))
+    put("customers", customers.merge_customers(customer_file(spark, sf_dir), customers.lifetime(tickets, SALT)))
+    sold = at_snapshot(tickets)
+    planned = put("matches", matches.forecasting_matches(sold, listed, PLANNING_SEASON, PLANNING_LABEL))
+    put("daily", matches.daily_sales(sold, planned))

@@ -9,46 +9,53 @@ from pyspark.sql import Column, functions as F
 from boxline.functions.text import NULL_TOKENS, col, strip
 
 DAY_MICROS = 86_400_000_000
-_TIME = "[ H:mm[:ss]]"
-_CLOCK = "[ h:mm[:ss] a]"
+_NUMERIC = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})(?![0-9])(.*)$"
+_SHORT_YEAR = r"^([0-9]{1,2}[/.-][0-9]{1,2}[/.-])([0-9]{2})(?![0-9])"
+_OLD_YEAR = r"^([0-9]{1,2}[/.-][0-9]{1,2}[/.-])(69|[7-9][0-9])(?![0-9])"
+_YEAR_FIRST = r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?![0-9])(.*)$"
+_SWAPPED = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?![0-9])(.*)$"
+_DAY_NAMED = r"(?i)^([0-9]{1,2})[ -](jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ ,-]+([0-9]{4})(?![0-9])(.*)$"
+_NAMED_DAY = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* ([0-9]{1,2}),? ([0-9]{4})(?![0-9])(.*)$"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
-# Accepted layouts, by which of day and month comes first. Named months fit both.
-_DAY_FIRST = ("d/M/", "d-M-", "d.M.")
-_MONTH_FIRST = ("M/d/", "M-d-", "M.d.")
-_NAMED_MONTH = ("d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy")
 
-
-def _parse(text: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
-
-
-def _by_layout(text: Column, prefixes: tuple[str, ...]) -> Column:
-    tries = []
-    for prefix in prefixes:
-        for clock in (_TIME, _CLOCK):
-            tries.append(_parse(text, f"{prefix}yyyy{clock}"))
-            short = _parse(text, f"{prefix}yy{clock}")
-            # Two-digit years 69-99 belong to the 1900s.
-            tries.append(F.when(F.year(short) >= 2069, F.add_months(short, -1200).cast("timestamp_ntz")).otherwise(short))
-    return F.coalesce(*tries)
+def _iso(text: Column) -> Column:
+    """ISO-shaped text to a timestamp, with an optional 12-hour clock."""
+    shaped = text.rlike("^[0-9]{4}-[0-9]")
+    clock = F.when(shaped & text.rlike("(?i)[ap]m$"), F.try_to_timestamp(F.upper(text), F.lit("yyyy-M-d h:mm[:ss] a")).cast("timestamp_ntz"))
+    return F.coalesce(F.when(shaped, text.try_cast("timestamp_ntz")), clock)
 
 
 def parse_date(c: Column | str, day_first: bool = True) -> Column:
     """Mixed date text to ``timestamp_ntz``; null when nothing fits.
 
     ISO text is never day-swapped. Other text is read day first, then month
-    first (or the other way round). Each row finds its own layout.
+    first (or the other way round). Each row finds its own layout. Texts are
+    rewritten to ISO shape by pattern, so that one cast serves all layouts.
     """
     text = strip(c)
     text = F.when(~text.isin(*NULL_TOKENS), text)
-    upper = F.initcap(text)
-    upper = F.regexp_replace(F.regexp_replace(upper, "(?i)\\bam\\b", "AM"), "(?i)\\bpm\\b", "PM")
-    iso = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([^0-9]|$)"), text.try_cast("timestamp_ntz"))
-    day, month = _by_layout(upper, _DAY_FIRST), _by_layout(upper, _MONTH_FIRST)
-    named = F.coalesce(*[_parse(upper, layout + clock) for layout in _NAMED_MONTH for clock in (_TIME, _CLOCK)])
-    year = F.coalesce(_parse(upper, "yyyy/M/d" + _TIME), _parse(upper, "yyyy-d-M" + _TIME))
+    # Two-digit years 69-99 belong to the 1900s.
+    full = F.regexp_replace(F.regexp_replace(text, _OLD_YEAR, "$119$2"), _SHORT_YEAR, "$120$2")
+    day, month = F.regexp_replace(full, _NUMERIC, "$3-$2-$1$4"), F.regexp_replace(full, _NUMERIC, "$3-$1-$2$4")
     first, second = (day, month) if day_first else (month, day)
-    return F.coalesce(iso, first, named, year, second)
+    named = F.regexp_replace(text, _NAMED_DAY, "$2 $1 $3$4")
+    number = (F.position(F.lower(F.regexp_extract(named, _DAY_NAMED, 2)), F.lit(_MONTHS)) + 2) / 3
+    named = F.concat(
+        F.regexp_extract(named, _DAY_NAMED, 3), F.lit("-"), number.cast("int").cast("string"), F.lit("-"),
+        F.regexp_extract(named, _DAY_NAMED, 1), F.regexp_extract(named, _DAY_NAMED, 4),
+    )
+    return (
+        F.when(text.rlike(_NUMERIC) | text.rlike(_SHORT_YEAR), F.coalesce(_iso(first), _iso(second)))
+        .when(text.rlike("(?i)[a-z]{3}") & ~text.rlike("^[0-9]{4}"), _iso(named))
+        .otherwise(
+            F.coalesce(
+                _iso(text),
+                _iso(F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3$4")),
+                _iso(F.regexp_replace(text, _SWAPPED, "$1-$3-$2$4")),
+            )
+        )
+    )
 
 
 # Date shapes looked for inside event names, in this order.

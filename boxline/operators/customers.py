@@ -151,8 +151,10 @@ def enrich_demographics(tickets: DataFrame, customers: DataFrame) -> DataFrame:
             filled[target] = text.fill_missing_text(F.col(target) if has(tickets, target) else F.lit(None).cast("string"), f"_{source}")
     for target, source in _FILL_FLAG.items():
         if source in wanted:
-            own = [F.col(target)] if has(tickets, target) else [F.lit(False)]
-            filled[target] = F.coalesce(*own, F.col(f"_{source}"))
+            if has(tickets, target):
+                filled[target] = F.coalesce(target, f"_{source}")
+            else:
+                filled[target] = F.col(f"_{source}") if target == source else F.lit(False)
     if "age" in wanted:
         filled["age_filter"] = F.col("_age")
     filled["demographic_match"] = F.coalesce("_found", F.lit(False))

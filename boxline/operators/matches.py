@@ -60,7 +60,7 @@ def prepare_fixtures(fixtures: DataFrame) -> DataFrame:
 def infer_fixtures(tickets: DataFrame) -> DataFrame:
     """Fixtures implied by the ticket rows, when no fixture list exists."""
     by = ["competition", "season_label", "opponent", "venue", "match_date"]
-    first = lambda c: F.min_by(c, F.struct("transaction_date", "transaction_id")).filter(F.col(c).isNotNull())
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("transaction_date", "transaction_id")))
     rows = (
         tickets.filter(F.col("match_date").isNotNull())
         .groupBy(*by)

@@ -9,52 +9,43 @@ from pyspark.sql import Column, functions as F
 from boxline.functions.text import NULL_TOKENS, col, strip
 
 DAY_MICROS = 86_400_000_000
-_NUMERIC = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})(?![0-9])(.*)$"
+_NUMERIC = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})(?![0-9])"
 _SHORT_YEAR = r"^([0-9]{1,2}[/.-][0-9]{1,2}[/.-])([0-9]{2})(?![0-9])"
 _OLD_YEAR = r"^([0-9]{1,2}[/.-][0-9]{1,2}[/.-])(69|[7-9][0-9])(?![0-9])"
-_YEAR_FIRST = r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?![0-9])(.*)$"
-_SWAPPED = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?![0-9])(.*)$"
-_DAY_NAMED = r"(?i)^([0-9]{1,2})[ -](jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ ,-]+([0-9]{4})(?![0-9])(.*)$"
-_NAMED_DAY = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* ([0-9]{1,2}),? ([0-9]{4})(?![0-9])(.*)$"
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_YEAR_FIRST = r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?![0-9])"
+_ISO_DAY = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?![0-9])"
+_ISO = r"(?s)^([0-9]{4}-[0-9]{1,2}-.*)$"
+_DAY_NAMED = r"(?i)^([0-9]{1,2})[ -]([a-z]{3})[a-z]*[ ,-]+([0-9]{4})(?![0-9])"
+_NAMED_DAY = r"(?i)^([a-z]{3})[a-z]* ([0-9]{1,2}),? ([0-9]{4})(?![0-9])"
 
 
-def _iso(text: Column) -> Column:
-    """ISO-shaped text to a timestamp, with an optional 12-hour clock."""
-    shaped = text.rlike("^[0-9]{4}-[0-9]")
-    clock = F.when(shaped & text.rlike("(?i)[ap]m$"), F.try_to_timestamp(F.upper(text), F.lit("yyyy-M-d h:mm[:ss] a")).cast("timestamp_ntz"))
-    return F.coalesce(F.when(shaped, text.try_cast("timestamp_ntz")), clock)
+def _timestamp(text: Column, pattern: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
 
 
 def parse_date(c: Column | str, day_first: bool = True) -> Column:
     """Mixed date text to ``timestamp_ntz``; null when nothing fits.
 
-    ISO text is never day-swapped. Other text is read day first, then month
-    first (or the other way round). Each row finds its own layout. Texts are
-    rewritten to ISO shape by pattern, so that one cast serves all layouts.
+    ISO text is never day-swapped unless it has no such month. Other text is
+    read day first, then month first (or the other way round). Each row finds
+    its own layout: texts are rewritten to ISO shape, so one cast serves all.
     """
-    text = strip(c)
-    text = F.when(~text.isin(*NULL_TOKENS), text)
+    raw = col(c)
     # Two-digit years 69-99 belong to the 1900s.
-    full = F.regexp_replace(F.regexp_replace(text, _OLD_YEAR, "$119$2"), _SHORT_YEAR, "$120$2")
-    day, month = F.regexp_replace(full, _NUMERIC, "$3-$2-$1$4"), F.regexp_replace(full, _NUMERIC, "$3-$1-$2$4")
-    first, second = (day, month) if day_first else (month, day)
-    named = F.regexp_replace(text, _NAMED_DAY, "$2 $1 $3$4")
-    number = (F.position(F.lower(F.regexp_extract(named, _DAY_NAMED, 2)), F.lit(_MONTHS)) + 2) / 3
-    named = F.concat(
-        F.regexp_extract(named, _DAY_NAMED, 3), F.lit("-"), number.cast("int").cast("string"), F.lit("-"),
-        F.regexp_extract(named, _DAY_NAMED, 1), F.regexp_extract(named, _DAY_NAMED, 4),
-    )
-    return (
-        F.when(text.rlike(_NUMERIC) | text.rlike(_SHORT_YEAR), F.coalesce(_iso(first), _iso(second)))
-        .when(text.rlike("(?i)[a-z]{3}") & ~text.rlike("^[0-9]{4}"), _iso(named))
-        .otherwise(
-            F.coalesce(
-                _iso(text),
-                _iso(F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3$4")),
-                _iso(F.regexp_replace(text, _SWAPPED, "$1-$3-$2$4")),
-            )
-        )
+    full = F.regexp_replace(F.regexp_replace(strip(raw), _OLD_YEAR, "$119$2"), _SHORT_YEAR, "$120$2")
+    shaped = F.regexp_replace(full, _NUMERIC, "$3-$2-$1" if day_first else "$3-$1-$2")
+    shaped = F.regexp_replace(shaped, _YEAR_FIRST, "$1-$2-$3")
+    swapped = F.regexp_replace(shaped, _ISO_DAY, "$1-$3-$2")
+    iso = lambda text: F.regexp_extract(text, _ISO, 1).try_cast("timestamp_ntz")
+    named = F.regexp_replace(F.regexp_replace(strip(raw), _NAMED_DAY, "$2 $1 $3"), _DAY_NAMED, "$1 $2 $3")
+    # The rare layouts are only tried on texts that could have them.
+    half_day = raw.rlike(r"(?i)[0-9] ?[ap]m\s*$")
+    worded = raw.rlike("(?i)[0-9 ,-][a-z]{3}|^\\s*[a-z]{3}.*[0-9]{4}")
+    return F.coalesce(
+        iso(shaped),
+        iso(swapped),
+        F.when(half_day, F.coalesce(*[_timestamp(F.upper(t), "yyyy-M-d h:mm[:ss] a") for t in (shaped, swapped)])),
+        F.when(worded, _timestamp(F.initcap(named), "d MMM yyyy[ H:mm[:ss]]")),
     )
 
 

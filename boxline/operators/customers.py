@@ -23,11 +23,9 @@ def purchase_status(tickets: DataFrame) -> DataFrame:
     dated, every row is Unknown.
     """
     firsts = first_season(tickets)
-    usable = tickets.agg(
-        F.bool_or(F.expr("customer_id is not null and transaction_date is not null and season_label is not null")).alias("v")
-    ).scalar()
+    usable = firsts.agg((F.count(F.lit(1)) > 0).alias("v")).scalar()
     joined = left_lookup(tickets, firsts, "customer_id")
-    status = F.when(~F.coalesce(usable, F.lit(False)), "Unknown").when(
+    status = F.when(~usable, "Unknown").when(
         F.col("season_label") == F.col("first_season"), "New"
     ).otherwise("Returning")
     return joined.withColumn("customer_purchase_status", status).drop("first_season")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from boxline.operators.features import CATEGORICAL, NUMERIC
 from boxline.operators.quantiles import exact_quantile
-from boxline.sources.session import new_path
+from boxline.sources.session import materialise, new_path
 
 MIN_ROWS = 10
 LOWER, UPPER = 0.10, 0.90
@@ -23,8 +23,9 @@ FALLBACK_SPREAD, FALLBACK_MIN = 0.12, 500.0
 class ForestSettings:
     trees: int = 180
     min_leaf: int = 3
-    max_depth: int = 10
+    max_depth: int = 8
     seed: int = 42
+    memory_mb: int = 1024
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,9 @@ class Forecaster:
 def fit(training: DataFrame, settings: ForestSettings = ForestSettings()) -> Forecaster:
     """Train on feature rows with ``final_sales``."""
     spark = training.sparkSession
+    # Fitting passes over the rows many times.
+    training = materialise(training.select(*NUMERIC, *CATEGORICAL, "final_sales"), "training")
+    training = training.repartition(spark.sparkContext.defaultParallelism)
     median = exact_quantile(training, "final_sales", 0.5, name="v").first()
     fallback = float(median["v"]) if median and median["v"] is not None else 0.0
     if training.limit(MIN_ROWS).count() < MIN_ROWS:
@@ -54,7 +58,7 @@ def fit(training: DataFrame, settings: ForestSettings = ForestSettings()) -> For
         RandomForestRegressor(
             featuresCol="features", labelCol="final_sales", predictionCol="forest", leafCol="leaves",
             numTrees=settings.trees, minInstancesPerNode=settings.min_leaf, maxDepth=settings.max_depth,
-            featureSubsetStrategy="all", seed=settings.seed,
+            featureSubsetStrategy="all", seed=settings.seed, maxMemoryInMB=settings.memory_mb,
         ),
     ]
     model = Pipeline(stages=stages).fit(training)

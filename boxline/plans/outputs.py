@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxline.operators import features, forecast, forest, pace, targets
-from boxline.operators.matches import completed_matches
+from boxline.operators.matches import completed_matches, final_sales
+from boxline.operators.quantiles import exact_quantile
+from boxline.sources.session import materialise
 
 UPLIFT = 0.10
 
@@ -48,7 +50,9 @@ def fixture_outputs(
 
     ``forecasts`` holds ``match_id``, ``expected``, ``lower`` and ``upper``.
     """
-    profile = pace.pace_profiles(selected, matches, daily, baseline, reference, settings)
+    # Three curves read the profile and two read the forecasts: both are small, and written once.
+    profile = materialise(pace.pace_profiles(selected, matches, daily, baseline, reference, settings), "pace")
+    forecasts = materialise(forecasts, "forecasts")
     actual = daily.join(selected.select("match_id"), "match_id", "left_semi")
     total = planning_target if planning_target is not None else F.col("baseline_target")
     manual = manual_target if manual_target is not None else F.col("manual_target")
@@ -89,9 +93,6 @@ def forecast_table(selected: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 def pace_forecasts(selected: DataFrame, matches: DataFrame, daily: DataFrame, reference=None) -> DataFrame:
     """Forecasts without a model: the median of past finals, as for scarce data."""
-    from boxline.operators.matches import final_sales
-    from boxline.operators.quantiles import exact_quantile
-
     done = completed_matches(matches, daily, reference)
     finals = final_sales(daily).filter("final_sales > 0").join(done, "match_id", "left_semi")
     median = exact_quantile(finals, "final_sales", 0.5, name="v").select("v").scalar()

@@ -99,19 +99,21 @@ def normalise_dates(spark, sf_dir):
     for i, layout in enumerate(layouts):
         shown = F.when(pick == i, F.date_format(d, layout)).otherwise(shown)
     event = F.concat(F.lit("BBL v "), F.col("o_orderpriority"), F.lit(" - "), shown, F.lit(" (gates 6pm)"))
-    parsed = dates.parse_date(shown)
-    return orders.select(
+    printed = orders.select("o_orderkey", "o_orderdate", shown.alias("shown"), event.alias("event"))
+    read = printed.select("o_orderkey", "o_orderdate", dates.parse_date("shown").alias("parsed"), dates.date_text_in("event").alias("found"))
+    aged = read.withColumn("age", dates.age_in_years("parsed", "2026-08-31"))
+    return aged.select(
         "o_orderkey",
-        parsed.cast("date").alias("parsed"),
-        F.hour(parsed).alias("hour"),
-        dates.date_in_text(event).cast("date").alias("from_text"),
-        dates.month_day(parsed).alias("month_day"),
-        dates.day_name(parsed).alias("day_name"),
-        dates.month_name(parsed).alias("month_name"),
-        F.dayofyear(parsed).alias("day_of_year"),
-        dates.floor_days("o_orderdate", parsed).alias("floor_days"),
-        dates.age_in_years(parsed, "2026-08-31").alias("age"),
-        dates.age_band(dates.age_in_years(parsed, "2026-08-31")).alias("age_band"),
+        F.col("parsed").cast("date").alias("parsed"),
+        F.hour("parsed").alias("hour"),
+        dates.parse_date("found").cast("date").alias("from_text"),
+        dates.month_day("parsed").alias("month_day"),
+        dates.day_name("parsed").alias("day_name"),
+        dates.month_name("parsed").alias("month_name"),
+        F.dayofyear("parsed").alias("day_of_year"),
+        dates.floor_days("o_orderdate", "parsed").alias("floor_days"),
+        "age",
+        dates.age_band("age").alias("age_band"),
     )
 
 

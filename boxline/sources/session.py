@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Do not look up the calling line for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

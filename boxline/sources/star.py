@@ -218,9 +218,10 @@ def _write(spark: SparkSession, sf_dir: str, folder: str) -> None:
         df.write.mode("overwrite").partitionBy(*layout).parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    tickets = put("tickets", customers.purchase_status(transactions(spark, sf_dir)), "season_label")
+    sold = put("sold", transactions(spark, sf_dir))
+    tickets = put("tickets", customers.purchase_status(sold), "season_label")
     listed = put("fixtures", fixtures(tickets))
     put("customers", customers.merge_customers(customer_file(spark, sf_dir), customers.lifetime(tickets, SALT)))
-    sold = at_snapshot(tickets)
-    planned = put("matches", matches.forecasting_matches(sold, listed, PLANNING_SEASON, PLANNING_LABEL))
-    put("daily", matches.daily_sales(sold, planned))
+    snapshot = at_snapshot(tickets)
+    planned = put("matches", matches.forecasting_matches(snapshot, listed, PLANNING_SEASON, PLANNING_LABEL))
+    put("daily", matches.daily_sales(snapshot, planned))

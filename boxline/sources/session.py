@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+_INFER = "spark.sql.constraintPropagation.enabled"
+
 
 def local_session(name: str = "boxline", cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -48,12 +50,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, infer: bool = True) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Used where several later steps read the same expensive frame. Unlike a
-    cache, the files survive the loss of executors.
+    cache, the files survive the loss of executors. ``infer=False`` skips
+    Spark's constraint inference for this one write: over dozens of long text
+    parsing expressions it takes far longer than the job.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_INFER)
+    try:
+        if not infer:
+            spark.conf.set(_INFER, "false")
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_INFER, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,6 @@ from boxline.sources.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("boxline-tests", cores="8", memory="4g")
+    session = local_session("boxline-tests", cores="8", shuffle_partitions=4, memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -8,8 +8,7 @@ from compare import QUERIES, compare, connect
 
 SF = os.environ.get("BOXLINE_SF", "/root/testdata/sf0.001")
 QUICK = (
-    "normalise_text", "normalise_numbers", "normalise_dates", "season_labels", "ticket_normalise", "fixture_match_two_stage", "demographic_enrich",
-    "customer_outer_merge", "daily_sales", "kpi_summary", "audience_grouping_sets", "expected_index_segment", "pace_profile", "required_daily",
+    "normalise_text", "normalise_dates", "fixture_match_two_stage", "customer_outer_merge", "kpi_summary", "expected_index_ticket_class",
     "segment_projection", "validation_warnings",
 )
 NAMES = list(QUERIES) if os.environ.get("BOXLINE_ALL") else list(QUICK)

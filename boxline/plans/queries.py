@@ -72,7 +72,7 @@ def normalise_text(spark, sf_dir):
 @query
 def normalise_numbers(spark, sf_dir):
     """Money, bracketed, percentage and flag texts back to values."""
-    li = star.table(spark, sf_dir, "lineitem")
+    li = star.line_items(spark, sf_dir)
     money = F.concat(F.lit(" $"), F.format_number("l_extendedprice", 2))
     bracketed = F.concat(F.lit("("), F.format_number("l_quantity", 2), F.lit(")"))
     percent = F.concat(F.round(F.col("l_discount") * 100, 0).cast("int").cast("string"), F.lit("%"))

@@ -21,6 +21,7 @@ AS_AT = "2024-11-15"
 BASELINE = ("2021/22", "2022/23", "2023/24")
 SALT = "boxline"
 FILES_PER_SEASON = 8
+SPREAD_FILES = 8
 
 TICKET_CLASS = {
     "STANDARD": "General Admission",
@@ -53,13 +54,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items, spread over the cores when they come in fewer files than that.
+
+    A file with one row group is read by one task, which would then do the
+    whole job. With as many files as cores nothing is moved.
+    """
+    rows = table(spark, sf_dir, "lineitem")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < min(cores, SPREAD_FILES) else rows
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised ticket rows."""
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = (
-        table(spark, sf_dir, "lineitem")
+        line_items(spark, sf_dir)
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))

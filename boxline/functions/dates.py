@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-from boxline.functions.text import NULL_TOKENS, col, strip
+from boxline.functions.text import col, strip
 
 DAY_MICROS = 86_400_000_000
 _NUMERIC = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})(?![0-9])"

@@ -40,7 +40,7 @@ def spread_null_key(key: str | Column, *spread: str) -> Column:
     """
     key = F.col(key) if isinstance(key, str) else key
     bucket = F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("string")
-    return F.coalesce(key, F.concat(F.lit("\u0000none-"), bucket))
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\u0000none-"), bucket))
 
 
 def left_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Iterable[str] = ()) -> DataFrame:
@@ -50,8 +50,8 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Iterable[s
     sorts both sides, nulls are spread, and AQE splits partitions of hot keys.
     """
     spread = list(spread) or [c for c in ("transaction_id", "order_id") if c in rows.columns]
-    keyed = rows.withColumn("_key", spread_null_key(key, *spread) if spread else F.col(key))
-    right = lookup.filter(F.col(key).isNotNull()).withColumnRenamed(key, "_key")
+    keyed = rows.withColumn("_key", spread_null_key(key, *spread) if spread else F.col(key).cast("string"))
+    right = lookup.filter(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("string")).withColumnRenamed(key, "_key")
     return keyed.join(right, "_key", "left").drop("_key")
 
 

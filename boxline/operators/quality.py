@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from boxline.functions import dates, keys
 from boxline.functions.numbers import safe_ratio
 from boxline.functions.text import clean_text
-from boxline.operators.common import column_or, has, scalars, total
+from boxline.operators.common import has, scalars, total
 
 # Levels at which a load is questioned.
 BAD_DATE_SHARE, CUSTOMER_JOIN, FIXTURE_JOIN, DUPLICATE_SHARE = 0.05, 0.5, 0.85, 0.02

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boxline.functions import keys
-from boxline.functions.numbers import clip, safe_ratio
-from boxline.operators.common import column_or, has, scalars
+from boxline.functions.numbers import clip
+from boxline.operators.common import column_or
 from boxline.operators.customers import not_yet_purchased
 from boxline.operators.filters import ALL
 from boxline.operators.segments import marketable

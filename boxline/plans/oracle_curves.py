@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from boxline.operators.features import CATEGORICAL, NUMERIC
-from boxline.plans.oracle import AS_AT, BASE, PLAN, _TS, entry, label_of, part, r6
+from boxline.plans.oracle import AS_AT, BASE, PLAN, entry, part, r6
 
 START = "DATE '2024-08-01'"
 LENGTH = 198  # days from 1 August 2024 to 15 February 2025

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from boxline.functions import dates, keys, numbers, seasons, text, windows
 from boxline.operators import (
-    calendar, curves, customers as cust, features, filters, forecast, forest, index as ix, ingest, matches as mt, pace,
+    calendar, curves, customers as cust, features, filters, forest, index as ix, ingest, matches as mt, pace,
     plan_targets, projection, quality, recommend, segments, summaries, targets,
 )
 from boxline.operators.filters import TicketFilter

@@ -47,3 +47,11 @@ def document_columns(docs: DataFrame) -> list[Column]:
 
 def with_types(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a frame made by ``stored`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from boxline.llm import secrets
+from boxline.llm import secrets, simhash
 from boxline.llm.common import table
 
 
+def op6_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
 def op9_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
 

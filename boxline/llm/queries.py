@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxline.llm import secrets, simhash
+from boxline.llm import quality, secrets, simhash
 from boxline.llm.common import table
 
 
@@ -14,9 +14,14 @@ def op9_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE = {

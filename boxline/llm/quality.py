@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from boxline.llm.common import fold, text_of
+from boxline.llm.common import document_columns, fold
 from boxline.llm.labelled import platt, sample_ids, sample_texts, sigmoid
 
 PLACES = 1 << 18
@@ -163,11 +164,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def run(batches):
         indicators, held = Indicators(), Model(*shared.value)
         for batch in batches:
-            margins = np.array([held.margin(indicators(t)) for t in batch.column(1).to_pylist()], float)
+            margins = np.array([held.margin(indicators(t or "")) for t in batch.column(0).field(text).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.score(margins))], ["_doc", "score"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), text_of(F.col(f"`{text}`")).alias("_text"))
-    schema = rows.select("_doc").schema.add("score", "double")
+    rows = docs.select(F.struct(*document_columns(docs)).alias("_doc"))
+    schema = T.StructType([*rows.schema, T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

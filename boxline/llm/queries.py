@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxline.llm import quality, secrets, simhash
+from boxline.llm import decontaminate, quality, secrets, simhash
 from boxline.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op8_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
+
+
 def op9_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -20,10 +24,12 @@ def op10_quality_classifier(spark, sf_dir):
 
 QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE = {
+    "op8_benchmark_decontamination": decontaminate.oracle(),
     "op9_secret_scan": secrets.oracle(),
 }

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from boxline.llm import decontaminate, quality, secrets, simhash
+from boxline.llm import decontaminate, packing, quality, secrets, simhash
 from boxline.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """Place of the public byte-level vocabulary that the packing contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -23,6 +34,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scan": op9_secret_scan,

@@ -1,15 +1,58 @@
-"""Corpus pipeline: raw documents to packed training sequences."""
+"""Corpus pipeline: raw documents to packed training sequences.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
+written and read again as the next one's ``docs``. All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from boxline.llm import secrets
+from pyspark.sql import DataFrame, SparkSession
+
+from boxline.llm import decontaminate, packing, quality, secrets, simhash
+from boxline.llm.common import stored, table
+from boxline.llm.queries import tokenizer_path
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from labelled rows of this stage's own input."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each SimHash component."""
+    return simhash.keep_one(docs, shingle=3, max_bits=2)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in training sequences."""
+    return packing.pack_documents(docs, tokenizer_path(), capacity=2048)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets),
+    ("best-fit packing", packed),
+]
 
-STAGES = [("secret scans", lambda spark, docs, sf_dir: secrets.redact(docs))]
+# Trained weights, XXH64 fingerprints and tokenizer ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

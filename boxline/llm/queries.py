@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from boxline.llm import decontaminate, packing, quality, secrets, simhash
+from boxline.llm import decontaminate, packing, quality, secrets, simhash, warc
 from boxline.llm.common import table
 
 
+def op2_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=1000)
+
+
 def tokenizer_path() -> str:
     """Place of the public byte-level vocabulary that the packing contract names."""
     import public_tokenizers
@@ -34,6 +38,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -42,6 +47,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_warc": warc.ORACLE,
     "op8_benchmark_decontamination": decontaminate.oracle(),
     "op9_secret_scan": secrets.oracle(),
 }

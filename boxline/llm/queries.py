@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxline.llm import decontaminate, packing, quality, secrets, simhash, warc
+from boxline.llm import decontaminate, packing, quality, secrets, simhash, toxicity, warc
 from boxline.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -40,6 +44,7 @@ def op10_quality_classifier(spark, sf_dir):
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scan": op9_secret_scan,

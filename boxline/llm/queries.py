@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxline.llm import decontaminate, packing, quality, secrets, simhash, toxicity, warc
+from boxline.llm import decontaminate, neighbours, packing, quality, secrets, simhash, toxicity, warc
 from boxline.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op7_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_classifier": op10_quality_classifier,

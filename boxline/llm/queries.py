@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from boxline.llm import decontaminate, neighbours, packing, quality, secrets, simhash, toxicity, warc
+from boxline.llm import decontaminate, licences, neighbours, packing, quality, secrets, simhash, toxicity, warc
 from boxline.llm.common import table
 
 
+def op1_licence_scan(spark, sf_dir):
+    return licences.scan_licences(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op2_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), least=1000)
 
@@ -46,6 +50,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_licence_scan": op1_licence_scan,
     "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
@@ -57,6 +62,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_licence_scan": licences.oracle(),
     "op2_warc": warc.ORACLE,
     "op8_benchmark_decontamination": decontaminate.oracle(),
     "op9_secret_scan": secrets.oracle(),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxline.llm import decontaminate, licences, neighbours, packing, quality, secrets, simhash, toxicity, warc
+from boxline.llm import decontaminate, licences, neighbours, packing, quality, secrets, simhash, substrings, toxicity, warc
 from boxline.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op5_suffix_array_dedup(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, least=200)
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,

@@ -13,7 +13,7 @@ def _checksum(edges: DataFrame) -> tuple:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """Root (smallest node) of every node that has an edge: columns ``node``, ``root``.
+    """Root (smallest node) of every linked node but the roots themselves: columns ``node``, ``root``.
 
     ``edges`` has long columns ``a`` and ``b``; loops and repeats are harmless.
     Each round turns every node's edges towards its smallest neighbour, first

@@ -55,6 +55,15 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Iterable[s
     return keyed.join(right, "_key", "left").drop("_key")
 
 
+def ranked(df: DataFrame, *order: str | Column, limit: int | None = None) -> DataFrame:
+    """Adds ``rank`` from 1; ``limit`` keeps the first rows only, None keeps all.
+
+    For summaries of one row per group, which one task can order.
+    """
+    rows = df.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
+    return rows if limit is None else rows.filter(F.col("rank") <= limit)
+
+
 def running(*partition: str, order: Iterable[str | Column]) -> Window:
     spec = Window.partitionBy(*partition) if partition else Window.partitionBy()
     return spec.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

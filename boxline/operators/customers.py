@@ -90,6 +90,12 @@ def customer_table(records: DataFrame | None, tickets: DataFrame, salt: str) ->
     return merge_customers(records, aggregates)
 
 
+def first_records(records: DataFrame) -> DataFrame:
+    """First record per customer over several files: by ``_source``, file and content. ``_source`` is dropped."""
+    content = F.to_json(F.struct(*sorted(c for c in records.columns if c not in ("_source", "source_file", "customer_id"))))
+    return first_per_key(records, "customer_id", "_source", F.coalesce("source_file", F.lit("")), content).drop("_source")
+
+
 def append_customers(first: DataFrame, second: DataFrame) -> DataFrame:
     """Union of two customer tables; the first one wins on a shared id."""
     both = first.withColumn("_rank", F.lit(0)).unionByName(second.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
@@ -168,8 +174,13 @@ _BEHAVIOUR = (
 
 
 def add_behaviour(tickets: DataFrame, customers: DataFrame) -> DataFrame:
-    """Left join of customer behaviour; clashing names get ``_customer``."""
+    """Left join of customer behaviour; clashing names get ``_customer``.
+
+    Of several records of a customer one counts, so no ticket row is doubled.
+    """
     wanted = [c for c in _BEHAVIOUR if c in customers.columns]
+    one = customers.select("customer_id", *wanted).filter("customer_id is not null")
+    customers = first_per_key(one, "customer_id", F.to_json(F.struct(*wanted))) if wanted else one.distinct()
     rename = {c: f"{c}_customer" for c in wanted if c in tickets.columns}
     return left_lookup(tickets, customers.select("customer_id", *wanted).withColumnsRenamed(rename), "customer_id")
 

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from boxline.operators.common import ranked
 from boxline.operators.features import CATEGORICAL, NUMERIC
 from boxline.operators.quantiles import exact_quantile
 from boxline.sources.session import materialise, new_path
@@ -23,7 +24,7 @@ FALLBACK_SPREAD, FALLBACK_MIN = 0.12, 500.0
 class ForestSettings:
     trees: int = 180
     min_leaf: int = 3
-    max_depth: int = 8
+    max_depth: int = 30  # Spark's largest; leaves are bounded by their least size
     seed: int = 42
     memory_mb: int = 1024
 
@@ -101,14 +102,14 @@ def predict(forecaster: Forecaster, snapshots: DataFrame) -> DataFrame:
     )
 
 
-def feature_importance(forecaster: Forecaster, sample: DataFrame, top: int = 12) -> DataFrame:
-    """Most important model inputs."""
+def feature_importance(forecaster: Forecaster, sample: DataFrame, limit: int | None = None) -> DataFrame:
+    """Model inputs by ``rank`` of their importance."""
     spark = sample.sparkSession
     schema = "feature string, importance double"
     if forecaster.model is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema + ", rank int")
     meta = forecaster.model.transform(sample.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in meta.values() for a in group}
     weights = forecaster.model.stages[-1].featureImportances.toArray()
     rows = [(names[i].replace("_code_", "_"), float(w)) for i, w in enumerate(weights)]
-    return spark.createDataFrame(rows, schema).orderBy(F.col("importance").desc(), "feature").limit(top)
+    return ranked(spark.createDataFrame(rows, schema), F.col("importance").desc(), "feature", limit=limit)

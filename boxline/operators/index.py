@@ -10,6 +10,7 @@ from boxline.functions import dates, keys, windows
 from boxline.functions.numbers import safe_index, safe_ratio
 from boxline.operators import segments as seg
 from boxline.operators.customers import add_behaviour
+from boxline.operators.common import ranked
 from boxline.operators.filters import ALL
 from boxline.operators.summaries import next_fixture
 
@@ -17,7 +18,6 @@ from boxline.operators.summaries import next_fixture
 THRESHOLDS = {"ahead": 1.10, "on_track": 0.95, "watch": 0.85, "behind": 0.70}
 STATUS_RANK = {"At risk": 0, "Behind": 1, "Watch": 2, "Not due yet": 3, "On track": 4, "Ahead": 5}
 DEFAULT_SEASONS = 3
-FALLBACK_ROWS = 12
 
 INDEX_COLUMNS = (
     "analysis_group", "definition", "current_paid_tickets", "current_comps", "current_total_tickets",
@@ -294,7 +294,7 @@ def expected_index(
     kind: str = "segment", baseline: Iterable[str] | None = None, min_size: float = 100,
     thresholds: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """Index of actual against expected-by-now sales for every group."""
+    """Index of actual against expected-by-now sales for every group; ``meets_min_size`` marks the sizeable ones."""
     group_kind = seg.KINDS[kind]
     rows = index_measures(tickets, customers, matches, current_label, competition, as_at, group_kind, baseline)
     if customers is not None:
@@ -330,24 +330,21 @@ def expected_index(
     )
     rows = rows.withColumn("purchase_rate_index", safe_index(F.col("actual_purchase_rate"), F.col("expected_purchase_rate")))
     rows = rows.withColumns(recommendation(group_kind))
-    return keep_sizeable(rows, min_size).select(*INDEX_COLUMNS)
+    return mark_sizeable(rows, min_size).select(*INDEX_COLUMNS, "meets_min_size")
 
 
-def keep_sizeable(rows: DataFrame, min_size: float) -> DataFrame:
-    """Groups of at least ``min_size``; if there are none, the largest twelve."""
+def mark_sizeable(rows: DataFrame, min_size: float) -> DataFrame:
+    """Adds ``meets_min_size``; no group is left out."""
     basis = F.greatest("current_paid_tickets", "expected_paid_tickets_by_now", "expected_final_paid_tickets", "eligible_audience_size")
-    every = Window.partitionBy()
-    rank = F.row_number().over(every.orderBy(F.col("expected_final_paid_tickets").desc(), "analysis_group"))
-    rows = rows.withColumns({"_big": basis >= min_size, "_rank": rank})
-    rows = rows.withColumn("_any", F.max("_big").over(every))
-    return rows.filter(F.col("_big") | (~F.col("_any") & (F.col("_rank") <= FALLBACK_ROWS))).drop("_big", "_rank", "_any")
+    return rows.withColumn("meets_min_size", F.coalesce(basis >= min_size, F.lit(False)))
 
 
-def in_report_order(index: DataFrame) -> DataFrame:
-    return index.orderBy(status_rank(F.col("status")), "paid_ticket_gap", F.col("expected_final_paid_tickets").desc(), "analysis_group")
+def in_report_order(index: DataFrame, limit: int | None = None) -> DataFrame:
+    """Most serious groups first, by ``rank``."""
+    return ranked(index, status_rank(F.col("status")), "paid_ticket_gap", F.col("expected_final_paid_tickets").desc(), "analysis_group", limit=limit)
 
 
-def comparison_bars(index: DataFrame, limit: int = 12) -> DataFrame:
-    """Largest groups by expected sales, for actual-against-expected bars."""
-    top = index.orderBy(F.col("expected_paid_tickets_by_now").desc(), "analysis_group").limit(limit)
-    return top.select("analysis_group", "current_paid_tickets", "expected_paid_tickets_by_now")
+def comparison_bars(index: DataFrame, limit: int | None = None) -> DataFrame:
+    """Groups by expected sales, largest first, for actual-against-expected bars."""
+    rows = ranked(index, F.col("expected_paid_tickets_by_now").desc(), "analysis_group", limit=limit)
+    return rows.select("rank", "analysis_group", "current_paid_tickets", "expected_paid_tickets_by_now")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from boxline.operators.common import running
+from boxline.operators.common import ranked, running
 from boxline.operators.filters import candidate_predicate
 from boxline.operators.matches import completed_matches, final_sales
 
@@ -47,9 +47,9 @@ def similarity(target: Column) -> Column:
 
 def comparable_matches(
     matches: DataFrame, daily: DataFrame, match_id: str, filters: dict | None = None, reference=None,
-    limit: int = 8, settings: PaceSettings = PaceSettings(),
+    limit: int | None = None, settings: PaceSettings = PaceSettings(),
 ) -> DataFrame:
-    """Past matches most like one selected match, best first."""
+    """Past matches by ``rank`` of their likeness to one selected match."""
     done = completed_matches(matches, daily, reference)
     pool = matches.join(done, "match_id", "left_semi")
     # Candidates under the filters, then without the seasons, then all of them.
@@ -71,8 +71,7 @@ def comparable_matches(
     rows = rows.withColumn("_raw", raw)
     whole = rows.agg(F.sum("_raw").alias("v")).scalar()
     rows = rows.withColumn("similarity", F.col("_raw") / whole).drop("_raw")
-    ranked = rows.join(final_sales(daily), "match_id", "left")
-    return ranked.orderBy(F.col("similarity").desc(), "match_id").limit(limit)
+    return ranked(rows.join(final_sales(daily), "match_id", "left"), F.col("similarity").desc(), "match_id", limit=limit)
 
 
 def _candidate_sets(matches: DataFrame, done: DataFrame, baseline: Sequence[str]) -> DataFrame:

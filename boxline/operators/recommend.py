@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boxline.functions import keys
 from boxline.functions.numbers import clip
-from boxline.operators.common import column_or
+from boxline.operators.common import column_or, ranked
 from boxline.operators.customers import not_yet_purchased
 from boxline.operators.filters import ALL
 from boxline.operators.segments import marketable
 
-CAMPAIGN_ROWS = 12
-FALLBACK_AUDIENCES = 10
 DIAGNOSTIC_SIZE = 250
 EARLY_MONTH = 8
 EARLY_DAYS = 30
@@ -33,8 +31,8 @@ def present(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def marketing_recommendations(index: DataFrame, min_marketable: float = 5000) -> DataFrame:
-    """Campaign-ready groups; with none, groups that are at least worth a look."""
+def marketing_recommendations(index: DataFrame, min_marketable: float = 5000, limit: int | None = None) -> DataFrame:
+    """Campaign-ready groups; with none, groups that are at least worth a look. All of them, by ``rank``, unless limited."""
     ready = F.coalesce("marketable_audience_size", F.lit(0.0)) >= min_marketable
     possible = F.coalesce("eligible_audience_size", F.lit(0.0)) >= min(DIAGNOSTIC_SIZE, min_marketable)
     rows = index.withColumns({"_ready": ready, "_possible": possible})
@@ -43,11 +41,14 @@ def marketing_recommendations(index: DataFrame, min_marketable: float = 5000) ->
         F.col("_any"), "Campaign-ready marketable audience size meets the selected threshold."
     ).otherwise("Opt-in or marketable size is unavailable/low; use as diagnostic planning evidence.")
     rows = rows.filter(F.when(F.col("_any"), F.col("_ready")).otherwise(F.col("_possible"))).withColumn("marketable_note", note)
-    return rows.drop("_ready", "_possible", "_any").orderBy("status", "paid_ticket_gap", "analysis_group").limit(CAMPAIGN_ROWS)
+    return ranked(rows.drop("_ready", "_possible", "_any"), "status", "paid_ticket_gap", "analysis_group", limit=limit)
 
 
 def recommended_audiences(customers: DataFrame, tickets: DataFrame, planning_label: str, min_size: int = 5000) -> DataFrame:
-    """Marketable customers who have not bought the planning season, by segment."""
+    """Marketable customers who have not bought the planning season, by segment.
+
+    Every segment, by ``rank``; ``meets_min_size`` marks the large ones.
+    """
     text = lambda name: F.coalesce(F.nullif(column_or(customers, name, "Unknown").cast("string"), F.lit("")), F.lit("Unknown"))
     family = F.coalesce(column_or(customers, "family_flag", False), F.lit(False))
     rows = not_yet_purchased(customers, tickets, planning_label).filter(marketable(customers))
@@ -64,14 +65,8 @@ def recommended_audiences(customers: DataFrame, tickets: DataFrame, planning_lab
         F.avg("seasons_purchased_count").alias("seasons_purchased"),
         F.mode("usual_purchase_window", True).alias("usual_purchase_window"),
     )
-    every = Window.partitionBy()
-    grouped = grouped.withColumns(
-        {
-            "_big": F.col("audience_size") >= min_size,
-            "_rank": F.row_number().over(every.orderBy(F.col("audience_size").desc(), "segment")),
-        }
-    ).withColumn("_any", F.max("_big").over(every))
-    grouped = grouped.filter(F.col("_big") | (~F.col("_any") & (F.col("_rank") <= FALLBACK_AUDIENCES))).drop("_big", "_rank", "_any")
+    grouped = ranked(grouped, F.col("audience_size").desc(), "segment")
+    grouped = grouped.withColumn("meets_min_size", F.col("audience_size") >= min_size)
 
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = (
@@ -152,11 +147,11 @@ RISKY = ("At risk", "Behind", "Watch")
 
 
 def risk_highlights(audience: DataFrame, ticket_class: DataFrame) -> DataFrame:
-    """Up to four headline groups, one row each."""
+    """Up to four headline groups of sufficient size, one row each."""
     fields = ("analysis_group", "status", "paid_ticket_gap", "ticket_index", "usual_purchase_window")
 
     def best(index: DataFrame, test: Column, order: list[Column | str], position: int, name: str) -> DataFrame:
-        row = index.filter(test).agg(F.min_by(F.struct(*fields), F.struct(*order, F.col("analysis_group").alias("_g"))).alias("r"))
+        row = index.filter(test & F.col("meets_min_size")).agg(F.min_by(F.struct(*fields), F.struct(*order, F.col("analysis_group").alias("_g"))).alias("r"))
         return row.filter("r is not null").select(F.lit(position).alias("position"), F.lit(name).alias("highlight"), "r.*")
 
     from boxline.operators.index import status_rank

@@ -396,6 +396,29 @@ FROM (SELECT * REPLACE (
   CASE WHEN season > {star.PLANNING_SEASON} OR (price_type <> 'Adult' AND season_label <> {label_of("(year(match_date) - CASE WHEN month(match_date) < 7 THEN 1 ELSE 0 END)")}) THEN NULL ELSE fixture_id END AS fixture_id) FROM nt) GROUP BY 1, 2, 3""",
     "nt",
 )
+_TAIL = "sales_channel || CASE price_type WHEN 'Adult' THEN ' é' WHEN 'Group' THEN ' é’' ELSE ' 5 row' END"
+_MIXED = "price_type IN ('Adult', 'Group') OR NOT is_refund"
+entry(
+    "csv_mixed_files",
+    f"""
+SELECT transaction_id, order_id, customer_id, competition, opponent, venue, {r6("tickets_sold")} AS tickets_sold, {r6("gross")} AS gross_revenue, ticket_type, price_type, {_TAIL} AS sales_channel
+FROM nt WHERE {_MIXED}""",
+    "nt",
+)
+entry(
+    "load_rejects",
+    f"""
+SELECT 'warning' AS severity, 'tickets' AS area, n || ' rows of export were set aside: more values than columns.' AS message, n AS rejected_rows
+FROM (SELECT count(*) AS n FROM nt WHERE NOT ({_MIXED})) WHERE n > 0""",
+    "nt",
+)
+entry(
+    "customer_files_merge",
+    f"""
+SELECT customer_id, n AS ticket_rows, tickets, cu.gender, cu.postcode FROM cu JOIN (
+  SELECT customer_id, count(*) AS n, {r6("sum(tickets_sold)")} AS tickets FROM tx GROUP BY 1) USING (customer_id)""",
+    "cu", "tx",
+)
 entry(
     "union_competitions",
     f"""

@@ -213,8 +213,8 @@ def index_parts(key: str, kind: str, competition: str, seasons: str, min_size: i
     CASE WHEN status = 'Not due yet' THEN g || ' is below full-season conversion, but historical behaviour points to later-window purchasing (' || uw || '). Current window is ' || cw || '.'
       WHEN {short} THEN g || ' is ' || {thousands("abs(gap)")} || ' paid tickets ' || CASE WHEN gap < 0 THEN 'behind' ELSE 'ahead of' END || ' expected by now with a ticket index of ' || {ti} || '.'
       WHEN status = 'Ahead' THEN g || ' is ahead of expected paid-ticket volume with a ticket index of ' || {ti} || '.'
-      ELSE g || ' is broadly on track with a ticket index of ' || {ti} || '.' END AS rationale
-  FROM (SELECT *, bool_or(big) OVER () AS any_big, row_number() OVER (ORDER BY f_paid DESC, g) AS pos FROM st_{key}) WHERE big OR (NOT any_big AND pos <= 12)""",
+      ELSE g || ' is broadly on track with a ticket index of ' || {ti} || '.' END AS rationale, coalesce(big, false) AS meets_min_size
+  FROM st_{key}""",
         f"st_{key}",
     )
 
@@ -233,18 +233,18 @@ for _name, _key in {
 entry(
     "marketing_recommendations",
     """
-SELECT analysis_group, definition, marketable_audience_size, current_unique_purchasers, expected_purchasers_by_now, actual_purchase_rate, expected_purchase_rate, purchase_rate_index,
+SELECT row_number() OVER (ORDER BY status, paid_ticket_gap, analysis_group) AS rank, analysis_group, definition, marketable_audience_size, current_unique_purchasers, expected_purchasers_by_now, actual_purchase_rate, expected_purchase_rate, purchase_rate_index,
   current_paid_tickets, expected_paid_tickets_by_now, paid_ticket_gap, revenue_gap, usual_purchase_window, current_sales_window, recommended_action, suggested_message_angle, suggested_timing,
   suggested_ticket_product, confidence, rationale,
   CASE WHEN ready THEN 'Campaign-ready marketable audience size meets the selected threshold.' ELSE 'Opt-in or marketable size is unavailable/low; use as diagnostic planning evidence.' END AS marketable_note
 FROM (SELECT *, bool_or(marketable_audience_size >= 300) OVER () AS ready FROM idx_seg)
-WHERE CASE WHEN ready THEN marketable_audience_size >= 300 ELSE eligible_audience_size >= 250 END ORDER BY status, paid_ticket_gap, analysis_group LIMIT 12""",
+WHERE CASE WHEN ready THEN marketable_audience_size >= 300 ELSE eligible_audience_size >= 250 END""",
     "idx_seg",
 )
 entry(
     "comparison_bars",
     """
-SELECT analysis_group, current_paid_tickets, expected_paid_tickets_by_now FROM idx_pro ORDER BY expected_paid_tickets_by_now DESC, analysis_group LIMIT 12""",
+SELECT row_number() OVER (ORDER BY expected_paid_tickets_by_now DESC, analysis_group) AS rank, analysis_group, current_paid_tickets, expected_paid_tickets_by_now FROM idx_pro""",
     "idx_pro",
 )
 _FIELDS = "analysis_group, status, paid_ticket_gap, ticket_index, usual_purchase_window"
@@ -253,16 +253,16 @@ _RISKY = "status IN ('At risk', 'Behind', 'Watch')"
 entry(
     "risk_highlights",
     f"""
-SELECT * FROM (SELECT 1 AS position, 'audience watch item' AS highlight, {_FIELDS} FROM idx_seg WHERE {_RISKY} ORDER BY paid_ticket_gap, {_SR}, analysis_group LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 2, 'not due yet', {_FIELDS} FROM idx_seg WHERE status = 'Not due yet' ORDER BY paid_ticket_gap, expected_final_paid_tickets DESC, analysis_group LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 3, 'ticket class watch item', {_FIELDS} FROM idx_cla WHERE {_RISKY} ORDER BY paid_ticket_gap, {_SR}, analysis_group LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 4, 'positive trend', {_FIELDS} FROM idx_cla WHERE status = 'Ahead' ORDER BY ticket_index DESC, paid_ticket_gap, analysis_group LIMIT 1)""",
+SELECT * FROM (SELECT 1 AS position, 'audience watch item' AS highlight, {_FIELDS} FROM idx_seg WHERE meets_min_size AND {_RISKY} ORDER BY paid_ticket_gap, {_SR}, analysis_group LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 2, 'not due yet', {_FIELDS} FROM idx_seg WHERE meets_min_size AND status = 'Not due yet' ORDER BY paid_ticket_gap, expected_final_paid_tickets DESC, analysis_group LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 3, 'ticket class watch item', {_FIELDS} FROM idx_cla WHERE meets_min_size AND {_RISKY} ORDER BY paid_ticket_gap, {_SR}, analysis_group LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 4, 'positive trend', {_FIELDS} FROM idx_cla WHERE meets_min_size AND status = 'Ahead' ORDER BY ticket_index DESC, paid_ticket_gap, analysis_group LIMIT 1)""",
     "idx_seg", "idx_cla",
 )
 entry(
     "recommended_audiences",
     f"""
-SELECT segment, audience_size, {r6("alt")} AS avg_lifetime_tickets, {r6("alr")} AS avg_lifetime_revenue, {r6("sp")} AS seasons_purchased, usual_purchase_window, {r6("score")} AS likelihood_score,
+SELECT pos AS rank, audience_size >= 20 AS meets_min_size, segment, audience_size, {r6("alt")} AS avg_lifetime_tickets, {r6("alr")} AS avg_lifetime_revenue, {r6("sp")} AS seasons_purchased, usual_purchase_window, {r6("score")} AS likelihood_score,
   {r6("round_even(audience_size * (score / 100) * 1.8, 0)")} AS estimated_ticket_upside,
   CASE WHEN audience_size >= 5000 THEN 'high' WHEN audience_size >= 1000 THEN 'medium' ELSE 'directional' END AS confidence,
   CASE WHEN usual_purchase_window = 'Unknown' THEN 'next available sales window' ELSE usual_purchase_window END AS suggested_timing,
@@ -270,13 +270,12 @@ SELECT segment, audience_size, {r6("alt")} AS avg_lifetime_tickets, {r6("alr")}
   {thousands("audience_size")} || ' marketable customers have not purchased {PLAN}; historic average is ' || coalesce(printf('%.1f', alt), 'nan') || ' tickets across ' || coalesce(printf('%.1f', sp), 'nan') || ' seasons.' AS rationale
 FROM (
   SELECT *, least(greatest(least(greatest(coalesce(sp, 0), 0), 5) * 12 + least(greatest(coalesce(alt, 0), 0), 20) * 1.7 + ln(1 + greatest(coalesce(alr, 0), 0)) * 4, 0), 100) AS score FROM (
-    SELECT *, bool_or(audience_size >= 20) OVER () AS any_big, row_number() OVER (ORDER BY audience_size DESC, segment) AS pos FROM (
+    SELECT *, row_number() OVER (ORDER BY audience_size DESC, segment) AS pos FROM (
       SELECT segment, count(DISTINCT customer_id) AS audience_size, avg(lifetime_tickets) AS alt, avg(CAST(lifetime_revenue AS DOUBLE)) AS alr, avg(seasons_purchased_count) AS sp, min(uw) AS usual_purchase_window
       FROM (SELECT *, coalesce(usual_purchase_window, 'Unknown') AS uw, CASE WHEN coalesce(family_flag, false) THEN 'Family' ELSE 'General' END || ' | ' || coalesce(preferred_ticket_class, 'Unknown') || ' | ' || coalesce(usual_purchase_window, 'Unknown') AS segment
             FROM cu WHERE (coalesce(marketing_opt_in, false) OR coalesce(email_opt_in, false) OR coalesce(sms_opt_in, false))
               AND NOT EXISTS (SELECT 1 FROM tx WHERE tx.customer_id = cu.customer_id AND season_label = '{PLAN}' AND transaction_date <= TIMESTAMP '2024-08-15'))
-      GROUP BY 1))
-  WHERE audience_size >= 20 OR (NOT any_big AND pos <= 10))""",
+      GROUP BY 1)))""",
     "cu", "tx",
 )
 entry(

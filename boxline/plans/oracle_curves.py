@@ -117,15 +117,15 @@ SELECT match_id, days_to_event, {r6("share")} AS historical_daily_share, {r6("su
 entry(
     "comparable_matches",
     f"""
-SELECT c AS match_id, season_label, opponent, {r6("w / sum(w) OVER ()")} AS similarity, {r6("final_sales")} AS final_sales
-FROM (SELECT * FROM weights WHERE t = '2024-18') JOIN mt ON mt.match_id = c LEFT JOIN fin ON fin.match_id = c ORDER BY similarity DESC, c LIMIT 8""",
+SELECT row_number() OVER (ORDER BY w DESC, c) AS rank, c AS match_id, season_label, opponent, {r6("w / sum(w) OVER ()")} AS similarity, {r6("final_sales")} AS final_sales
+FROM (SELECT * FROM weights WHERE t = '2024-18') JOIN mt ON mt.match_id = c LEFT JOIN fin ON fin.match_id = c""",
     "weights", "mt", "fin",
 )
 entry(
     "nearest_historical_fixture",
     f"""
-SELECT fixture_id, competition || ' v ' || opponent || ' | ' || strftime(match_date, '%d %b %Y') || ' | ' || season_label AS label, abs(dayofyear(match_date) - dayofyear(DATE '2024-12-31')) AS day_gap
-FROM fx WHERE season_label <> '{PLAN}' ORDER BY day_gap, season_label, match_date, fixture_id LIMIT 25""",
+SELECT row_number() OVER (ORDER BY abs(dayofyear(match_date) - dayofyear(DATE '2024-12-31')), season_label, match_date, fixture_id) AS rank, fixture_id, competition || ' v ' || opponent || ' | ' || strftime(match_date, '%d %b %Y') || ' | ' || season_label AS label, abs(dayofyear(match_date) - dayofyear(DATE '2024-12-31')) AS day_gap
+FROM fx WHERE season_label <> '{PLAN}'""",
     "fx",
 )
 entry(

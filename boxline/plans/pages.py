@@ -7,11 +7,11 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from boxline.operators.common import ranked
 from boxline.operators import curves, index as ix, plan_targets, projection, quality, recommend, summaries
 from boxline.operators.filters import TicketFilter, filter_tickets, scoped
 
 AUDIENCE_DIMENSIONS = ("ticket_class", "price_type", "sales_channel")
-REPORT_FIXTURES, REPORT_GROUPS = 8, 6
 REPORT_COLUMNS = (
     "analysis_group", "status", "current_paid_tickets", "expected_paid_tickets_by_now", "ticket_index", "paid_ticket_gap",
     "recommended_action",
@@ -109,8 +109,8 @@ def recommended(tickets, customers, season_label: str, min_size: int) -> Page:
     }
 
 
-def report(tickets, customers, fixtures, matches, f: TicketFilter, as_at, baseline: Sequence[str], forecasts: DataFrame, forecast_total: float, target_total: float) -> Page:
-    """Content of the printed report."""
+def report(tickets, customers, fixtures, matches, f: TicketFilter, as_at, baseline: Sequence[str], forecasts: DataFrame, forecast_total: float, target_total: float, max_fixtures: int | None = None, max_groups: int | None = None) -> Page:
+    """Content of the printed report; everything, by rank, unless limits are given."""
     rows = filter_tickets(tickets, replace(f, as_at=as_at))
     own = scoped(fixtures, f.season_label, f.competition)
     kpis = summaries.kpi_summary(rows, tickets, own, forecast_total, target_total, as_at)
@@ -119,11 +119,11 @@ def report(tickets, customers, fixtures, matches, f: TicketFilter, as_at, baseli
     page = {
         "kpis": kpis,
         "insights": summaries.insights(kpis, summary, audience, "ticket_class"),
-        "fixtures": summary.orderBy("competition", "match_date").limit(REPORT_FIXTURES),
+        "fixtures": ranked(summary, "competition", "match_date", "fixture_id", limit=max_fixtures),
     }
     for kind in ("segment", "ticket_type", "ticket_class"):
         rows_of = ix.expected_index(tickets, customers, matches, f.season_label, f.competition, as_at, kind, baseline)
-        page[f"index_{kind}"] = recommend.present(ix.in_report_order(rows_of).limit(REPORT_GROUPS), REPORT_COLUMNS)
+        page[f"index_{kind}"] = recommend.present(ix.in_report_order(rows_of, max_groups), ("rank", *REPORT_COLUMNS))
     return page
 
 

@@ -15,7 +15,7 @@ from boxline.operators.filters import TicketFilter
 from boxline.plans import ingestion, outputs, pages
 from boxline.sources import star, tables
 from boxline.sources.mapping import suggest_mapping
-from boxline.sources.session import new_path
+from boxline.sources.session import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,6 +301,54 @@ def csv_round_trip(spark, sf_dir):
     )
 
 
+def mixed_export(spark, sf_dir) -> str:
+    """One folder of ticket files that differ in encoding, column order, header names and stray quotes; some rows hold a value too many."""
+    path = new_path(spark, "export-mixed")
+    raw = raw_tickets(spark, sf_dir)
+    put = lambda rows, **options: rows.write.mode("append").options(header=True, **options).csv(path)
+    put(raw.filter("price_code = 'Adult'").withColumn("channel", F.concat("channel", F.lit(" é"))))
+    # The byte 0x92 is an apostrophe in the Windows code page.
+    latin = raw.filter("price_code = 'Group'").withColumn("channel", F.concat("channel", F.lit(" é\u0092")))
+    put(latin.select(*reversed(raw.columns)).withColumnRenamed("txn_id", "Sale ID"), encoding="ISO-8859-1")
+    rest = raw.filter("price_code not in ('Adult', 'Group')").withColumn("channel", F.concat("channel", F.lit(" 5 row")))
+    quoted = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in raw.columns])
+    # Refunds have a value too many.
+    line = F.when(F.col("ticket_status") == "REFUNDED", F.concat(quoted, F.lit(",again"))).otherwise(quoted)
+    # The first row of each task brings the header, so that every file has one.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rest.select(F.when(first, F.concat(F.lit(",".join(raw.columns) + "\n"), line)).otherwise(line)).write.mode("append").text(path)
+    return path
+
+
+@query
+def csv_mixed_files(spark, sf_dir):
+    """A folder of unlike files, read file by file: one row per ticket."""
+    path = mixed_export(spark, sf_dir)
+    rows, _ = ingestion.normalise(ingestion.read_export(spark, path), ingestion.Source(path, "tickets"), SETTINGS)
+    rows = materialise(rows, "mixed", infer=False)
+    return rows.select("transaction_id", "order_id", "customer_id", "competition", "opponent", "venue", "tickets_sold", "gross_revenue", "ticket_type", "price_type", "sales_channel")
+
+
+@query
+def load_rejects(spark, sf_dir):
+    """Rows of the same folder that fit no column, with their warning."""
+    path = mixed_export(spark, sf_dir)
+    rejects = ingestion.read_export(spark, path).rejects.select(F.lit("tickets").alias("kind"), F.lit("export").alias("source_file"), "reason", "row")
+    return ingestion.reject_warnings(rejects).withColumn("rejected_rows", rejects.agg(F.count(F.lit(1)).alias("v")).scalar())
+
+
+@query
+def customer_files_merge(spark, sf_dir):
+    """Two customer files that share ids: one record each, the first file's, and ticket totals as before."""
+    m = star.load(spark, sf_dir)
+    first = star.customer_file(spark, sf_dir).withColumns({"_source": F.lit(0), "source_file": F.lit("a.csv")})
+    second = first.withColumns({"_source": F.lit(1), "source_file": F.lit("b.csv"), "gender": F.lit("Other"), "postcode": F.lit("0000")})
+    merged = cust.merge_customers(cust.first_records(second.unionByName(first)), cust.lifetime(m.tickets, star.SALT))
+    doubled = merged.unionByName(merged)
+    totals = cust.add_behaviour(m.tickets, doubled).groupBy("customer_id").agg(F.count(F.lit(1)).alias("ticket_rows"), F.sum("tickets_sold").alias("tickets"))
+    return totals.join(merged.select("customer_id", "gender", "postcode"), "customer_id")
+
+
 @query
 def union_competitions(spark, sf_dir):
     """Ticket files of two competitions put together by column name."""
@@ -597,7 +645,7 @@ def expected_index_segment_product(spark, sf_dir):
 @query
 def marketing_recommendations(spark, sf_dir):
     rows = recommend.marketing_recommendations(index_of(spark, sf_dir, "segment"), 300)
-    return recommend.present(rows, recommend.RECOMMENDATION_COLUMNS)
+    return recommend.present(rows, ("rank", *recommend.RECOMMENDATION_COLUMNS))
 
 
 @query
@@ -679,7 +727,7 @@ def pace_profile(spark, sf_dir):
 def comparable_matches(spark, sf_dir):
     m = star.load(spark, sf_dir)
     rows = pace.comparable_matches(m.matches, m.daily, MATCH_ID, {"competition": "WBBL", "season_label": list(star.BASELINE)})
-    return rows.select("match_id", "season_label", "opponent", "similarity", "final_sales")
+    return rows.select("rank", "match_id", "season_label", "opponent", "similarity", "final_sales")
 
 
 @query

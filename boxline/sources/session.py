@@ -37,10 +37,13 @@ def local_session(name: str = "boxline", cores: str = "*", shuffle_partitions: i
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    A local folder is made only where the setting is absent, as in tests.
+    A local folder is made only where the setting is absent and one machine does
+    everything, as in tests; on a cluster each executor would see its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="boxline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -20,8 +20,6 @@ PLANNING_SEASON = 2024
 AS_AT = "2024-11-15"
 BASELINE = ("2021/22", "2022/23", "2023/24")
 SALT = "boxline"
-FILES_PER_SEASON = 8
-SPREAD_FILES = 8
 
 TICKET_CLASS = {
     "STANDARD": "General Admission",
@@ -55,14 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items, spread over the cores when they come in fewer files than that.
-
-    A file with one row group is read by one task, which would then do the
-    whole job. With as many files as cores nothing is moved.
-    """
-    rows = table(spark, sf_dir, "lineitem")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < min(cores, SPREAD_FILES) else rows
+    return table(spark, sf_dir, "lineitem")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,9 +215,8 @@ def load(spark: SparkSession, sf_dir: str) -> Model:
 def _write(spark: SparkSession, sf_dir: str, folder: str) -> None:
     def put(name: str, df: DataFrame, *layout: str) -> DataFrame:
         if layout:
-            # A few files per season, however large one season is.
-            df = df.withColumn("_spread", F.pmod(F.xxhash64("transaction_id"), F.lit(FILES_PER_SEASON)))
-            df = df.repartition(*[F.col(c) for c in layout], "_spread").drop("_spread")
+            # AQE splits and joins the parts of a season to its advisory size.
+            df = df.hint("rebalance", *layout)
         df.write.mode("overwrite").partitionBy(*layout).parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 

@@ -18,6 +18,7 @@ PROCESSED = {
     "customers_normalised": (),
     "matches": (),
     "daily_sales": (),
+    "rejects": (),
 }
 
 
@@ -54,10 +55,9 @@ def load_daily_sales(spark: SparkSession, folder: str, prefer_parquet: bool = Tr
 def write_processed(tables: dict[str, DataFrame], folder: str) -> None:
     """Replace the processed tables; tickets are laid out by season."""
     for name, layout in PROCESSED.items():
-        writer = tables[name].write.mode("overwrite")
-        if layout:
-            writer = writer.partitionBy(*layout)
-        writer.parquet(f"{folder}/{name}.parquet")
+        # AQE splits and joins the parts of a season to its advisory size, so files are neither tiny nor huge.
+        rows = tables[name].hint("rebalance", *layout) if layout else tables[name]
+        rows.write.mode("overwrite").partitionBy(*layout).parquet(f"{folder}/{name}.parquet")
 
 
 def load_processed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

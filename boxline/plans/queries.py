@@ -11,9 +11,11 @@ from boxline.operators import (
     calendar, curves, customers as cust, features, filters, forest, index as ix, ingest, matches as mt, pace,
     plan_targets, projection, quality, recommend, segments, summaries, targets,
 )
+from boxline.operators.common import ranked
 from boxline.operators.filters import TicketFilter
 from boxline.plans import ingestion, outputs, pages
 from boxline.sources import star, tables
+from boxline.sources.csv import REJECTS
 from boxline.sources.mapping import suggest_mapping
 from boxline.sources.session import materialise, new_path
 
@@ -359,6 +361,36 @@ def union_competitions(spark, sf_dir):
     return both.groupBy("season_label", "competition", "sales_channel").agg(F.count(F.lit(1)).alias("rows"), F.sum("tickets_sold").alias("tickets"))
 
 
+# --- stored tables ----------------------------------------------------------------------------------
+
+
+@query
+def processed_round_trip(spark, sf_dir):
+    """The processed tables written, laid out by season, and read back."""
+    m, folder = star.load(spark, sf_dir), new_path(spark, "processed-copy")
+    rejects = spark.createDataFrame([], f"kind string, {REJECTS}")
+    held = (m.tickets, m.fixtures, m.customers, m.matches, m.daily, rejects)
+    tables.write_processed(dict(zip(tables.PROCESSED, held)), folder)
+    back = tables.load_processed(spark, folder)["transactions_normalised"]
+    return back.groupBy("season_label").agg(F.count(F.lit(1)).alias("rows"), F.sum("paid_tickets_sold").alias("paid"), F.count_distinct("customer_id").alias("buyers"))
+
+
+@query
+def daily_sales_csv(spark, sf_dir):
+    """Daily sales exported as CSV and loaded from there."""
+    folder = new_path(spark, "csv-daily")
+    tables.export_csv(daily_sales(spark, sf_dir), f"{folder}/daily_sales.csv")
+    return tables.load_daily_sales(spark, folder, prefer_parquet=False).select("match_id", "date", "days_to_event", "daily_sales", "cumulative_sales")
+
+
+@query
+def matches_csv(spark, sf_dir):
+    """Matches exported as CSV and loaded from there, with dates again."""
+    folder = new_path(spark, "csv-matches")
+    tables.export_csv(star.load(spark, sf_dir).matches, f"{folder}/matches.csv")
+    return tables.load_matches(spark, folder, prefer_parquet=False).select("match_id", "season_label", "opponent", "event_date", "on_sale_date")
+
+
 # --- filters ----------------------------------------------------------------------------------------
 
 
@@ -401,6 +433,12 @@ def scoped_matches(spark, sf_dir):
     return filters.scoped(m.matches, star.PLANNING_LABEL, "WBBL").select("match_id", "event_date", "opponent", "round", "is_assumed")
 
 
+@query
+def season_match_list(spark, sf_dir):
+    """Matches of a season in order."""
+    return filters.season_matches(star.load(spark, sf_dir).matches, star.PLANNING_LABEL, "BBL").select("match_id", "opponent", "venue", "round")
+
+
 @query
 def completed_matches(spark, sf_dir):
     m = star.load(spark, sf_dir)
@@ -653,6 +691,18 @@ def comparison_bars(spark, sf_dir):
     return ix.comparison_bars(index_of(spark, sf_dir, "segment_product"))
 
 
+@query
+def index_report_order(spark, sf_dir):
+    """Every segment in the order of the report."""
+    return ix.in_report_order(index_of(spark, sf_dir, "segment")).select("rank", "analysis_group", "status", "paid_ticket_gap")
+
+
+@query
+def report_fixtures(spark, sf_dir):
+    """Every fixture of the printed report in its order."""
+    return ranked(fixture_sales_summary(spark, sf_dir), "competition", "match_date", "fixture_id").select("rank", "fixture_id", "risk_status")
+
+
 @query
 def risk_highlights(spark, sf_dir):
     return recommend.risk_highlights(index_of(spark, sf_dir, "segment"), index_of(spark, sf_dir, "ticket_class"))
@@ -852,6 +902,22 @@ def feature_importance(spark, sf_dir):
     return forest.feature_importance(forest.fit(rows), rows)
 
 
+@query
+def forest_invariants(spark, sf_dir):
+    """What holds of every forecast, whatever library grew the forest."""
+    rows = forest_forecast(spark, sf_dir)
+    holds = {"in_interval": F.col("expected").between(F.col("lower"), F.col("upper")), "not_negative": F.col("lower") >= 0}
+    return rows.select("match_id", *[test.alias(name) for name, test in holds.items()])
+
+
+@query
+def importance_invariants(spark, sf_dir):
+    """Importances add up to one and are ranked without gaps."""
+    rows = feature_importance(spark, sf_dir)
+    total = F.round(F.sum("importance"), 3).alias("total")
+    return rows.agg(total, (F.max("rank") == F.count(F.lit(1))).alias("ranked"), (F.min("importance") >= 0).alias("not_negative"))
+
+
 @query
 def fixture_forecast_table(spark, sf_dir):
     m = star.load(spark, sf_dir)
@@ -912,6 +978,12 @@ def target_totals(spark, sf_dir):
     return whole.unionByName(some)
 
 
+@query
+def missing_target_labels(spark, sf_dir):
+    """Names of planned fixtures without saved targets."""
+    return plan_targets.missing_labels(star.load(spark, sf_dir).planned, saved(spark, sf_dir))
+
+
 @query
 def target_drafts(spark, sf_dir):
     m = star.load(spark, sf_dir)

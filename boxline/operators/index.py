@@ -48,50 +48,53 @@ def baseline_seasons(tickets: DataFrame, current_label: str, wanted: Iterable[st
     return chosen.select("season_label")
 
 
-def _group_measures(rows: DataFrame) -> DataFrame:
-    """Sums, purchasers, orders and usual windows per phase and group.
+_MEASURES = {"paid": "paid_tickets_sold", "comps": "comp_tickets_sold", "tickets": "tickets_sold", "revenue": "gross_revenue"}
+_NOW = ("paid", "tickets", "revenue")
 
-    One shuffle serves them all: grouping sets on the customer, the order and
-    the two window columns are combined before it, and a hot group is spread
-    over its customers.
+
+def _group_measures(rows: DataFrame, kind: seg.GroupKind, labels: list[str]) -> DataFrame:
+    """Sums, purchasers, orders and usual windows per season and group.
+
+    The labels of a row are one bit mask, so the fact table is shuffled once and
+    unmultiplied. Sums per mask, and the masks of each customer and order, are
+    counted before the masks become groups; what multiplies is a count per mask.
     """
-    sets = [
-        ["season_label", "analysis_group", "customer_id"],
-        ["season_label", "analysis_group", "order_id"],
-        ["season_label", "analysis_group", "usual_purchase_window"],
-        ["season_label", "analysis_group", "sales_window"],
-    ]
-    by = ["season_label", "analysis_group", "customer_id", "order_id", "usual_purchase_window", "sales_window"]
-    now = lambda c: F.sum(F.when(F.col("by_now"), F.col(c)))
-    detail = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(
-        F.grouping("customer_id").alias("_no_customer"),
-        F.grouping("order_id").alias("_no_order"),
-        F.grouping("usual_purchase_window").alias("_no_usual"),
-        F.grouping("sales_window").alias("_no_window"),
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("paid_tickets_sold").alias("paid"),
-        F.sum("comp_tickets_sold").alias("comps"),
-        F.sum("tickets_sold").alias("tickets"),
-        F.sum("gross_revenue").alias("revenue"),
-        now("paid_tickets_sold").alias("paid_now"),
-        now("tickets_sold").alias("tickets_now"),
-        now("gross_revenue").alias("revenue_now"),
-        F.max("by_now").alias("_now"),
-    )
-    of_customer, of_order = F.col("_no_customer") == 0, F.col("_no_order") == 0
-    sums = [F.sum(F.when(of_customer, F.col(c))).alias(c) for c in ("paid", "comps", "tickets", "revenue", "paid_now", "tickets_now", "revenue_now")]
-    kind = (
-        F.when(F.col("_no_usual") == 0, "usual").when(F.col("_no_window") == 0, "window").otherwise("sums").alias("_kind")
-    )
-    value = F.coalesce("usual_purchase_window", "sales_window").alias("_value")
-    return detail.groupBy("season_label", "analysis_group", kind, value).agg(
-        *sums,
-        F.count_if(of_customer & F.col("customer_id").isNotNull()).alias("purchasers"),
-        F.count_if(of_customer & F.col("customer_id").isNotNull() & F.coalesce("_now", F.lit(False))).alias("purchasers_now"),
-        F.count_if(of_order & F.col("order_id").isNotNull()).alias("orders"),
-        F.sum("_n").alias("_n"),
+    key = ["season_label", "_product"] if kind.product or not kind.uses_segments else ["season_label"]
+    base = rows.groupBy(*key, "_mask", "customer_id", "order_id", "usual_purchase_window", "sales_window", "by_now").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(column).alias(name) for name, column in _MEASURES.items()]
     )
 
+    def grouped(frame: DataFrame) -> DataFrame:
+        """One row per group of each mask."""
+        if not kind.uses_segments:
+            return frame.withColumnRenamed("_product", "analysis_group").drop("_mask")
+        names = F.array_compact(F.array(*[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(labels)]))
+        frame = frame.withColumn("analysis_group", F.explode(names)).drop("_mask")
+        return frame.withColumn("analysis_group", F.concat("analysis_group", F.lit(" x "), "_product")).drop("_product") if kind.product else frame
+
+    def members(name: str, column: str) -> list[DataFrame]:
+        """How many customers or orders have a row in the group, and how many have one by now."""
+        masks = base.filter(F.col(column).isNotNull()).groupBy(*key, column).agg(
+            F.bit_or("_mask").alias("_all"), F.coalesce(F.bit_or(F.when(F.col("by_now"), F.col("_mask"))), F.lit(0).cast("long")).alias("_by_now")
+        )
+        found = [masks.groupBy(*key, F.col("_all").alias("_mask")).agg(F.count(F.lit(1)).alias(name))]
+        if name == "purchasers":
+            found.append(masks.filter("_by_now <> 0").groupBy(*key, F.col("_by_now").alias("_mask")).agg(F.count(F.lit(1)).alias(f"{name}_now")))
+        return [grouped(f).withColumn("_kind", F.lit("sums")) for f in found]
+
+    per_mask = base.groupBy(*key, "_mask", "usual_purchase_window", "sales_window", "by_now").agg(*[F.sum(c).alias(c) for c in ("_n", *_MEASURES)])
+    per_mask = grouped(per_mask)
+    now = [F.sum(F.when(F.col("by_now"), F.col(c))).alias(f"{c}_now") for c in _NOW]
+    sums = per_mask.groupBy("season_label", "analysis_group").agg(*[F.sum(c).alias(c) for c in ("_n", *_MEASURES)], *now).withColumn("_kind", F.lit("sums"))
+    modes = [
+        per_mask.groupBy("season_label", "analysis_group", F.col(column).alias("_value")).agg(F.sum("_n").alias("_n")).withColumn("_kind", F.lit(name))
+        for name, column in (("usual", "usual_purchase_window"), ("window", "sales_window"))
+    ]
+    parts = sums.withColumn("_value", F.lit(None).cast("string"))
+    for part in (*members("purchasers", "customer_id"), *members("orders", "order_id"), *modes):
+        parts = parts.unionByName(part, allowMissingColumns=True)
+    return parts
+
 
 def index_measures(
     tickets: DataFrame, customers: DataFrame, matches: DataFrame, current_label: str, competition: str, as_at,
@@ -116,15 +119,20 @@ def index_measures(
     by_now = is_current | (days_left <= 0) | (F.coalesce(out, F.lit(-9999)) >= days_left)
     rows = rows.withColumn("_days_left", point.select("same_point").scalar()).withColumn("by_now", by_now).drop("_days_left")
 
+    values = None
+    if kind.uses_segments:
+        own_value = ["lifetime_revenue"] if "lifetime_revenue" in rows.columns else []
+        values = rows.groupBy(is_current.alias("_current"), "customer_id", *own_value).agg(F.count(F.lit(1)).alias("_weight"))
+        values = add_behaviour(values, customers) if customers is not None else values
+        values = values.select("_current", "_weight", seg.number_of(values, "lifetime_revenue").alias("_value"))
     if customers is not None:
         rows = add_behaviour(rows, customers)
     if "usual_purchase_window" not in rows.columns:
         rows = rows.withColumn("usual_purchase_window", F.lit(None).cast("string"))
     cut = None
     if kind.uses_segments:
-        # Past and current rows each have their own upper quartile.
-        phases = rows.select(is_current.alias("_current"), seg.number_of(rows, "lifetime_revenue").alias("_value"))
-        cuts = seg.exact_quantile(phases, "_value", seg.HIGH_VALUE_QUANTILE, ["_current"], name="v")
+        # Past and current rows each have their own upper quartile. A customer's value counts once for each row.
+        cuts = seg.exact_quantile(values, "_value", seg.HIGH_VALUE_QUANTILE, ["_current"], weight="_weight", name="v")
         pick = lambda current: F.max(F.when(F.col("_current") == F.lit(current), F.col("v")))
         both = cuts.agg(F.struct(pick(True).alias("now"), pick(False).alias("past")).alias("s")).scalar()
         rows = rows.withColumn("_cuts", both)
@@ -134,9 +142,8 @@ def index_measures(
         "season_label", "customer_id", "order_id", "usual_purchase_window", "sales_window", "by_now",
         "paid_tickets_sold", "comp_tickets_sold", "tickets_sold", "gross_revenue",
     ]
-    fanned = seg.with_groups(rows, kind, keep, cut)
-
-    parts = _group_measures(fanned)
+    masked, labels_of_mask = seg.with_masks(rows, kind, keep, cut)
+    parts = _group_measures(masked, kind, labels_of_mask)
     # Usual windows are counted over the baseline seasons as a whole.
     past = F.col("season_label") != current_label
     values = parts.groupBy("analysis_group", "_kind", "_value", past.alias("_past")).agg(
@@ -297,7 +304,7 @@ def expected_index(
     """Index of actual against expected-by-now sales for every group; ``meets_min_size`` marks the sizeable ones."""
     group_kind = seg.KINDS[kind]
     rows = index_measures(tickets, customers, matches, current_label, competition, as_at, group_kind, baseline)
-    if customers is not None:
+    if customers is not None and group_kind.uses_segments:
         rows = rows.join(seg.audience_sizes(customers), "analysis_group", "left")
     else:
         rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("eligible_audience_size", "marketable_audience_size")})

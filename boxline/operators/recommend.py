@@ -148,20 +148,24 @@ RISKY = ("At risk", "Behind", "Watch")
 
 def risk_highlights(audience: DataFrame, ticket_class: DataFrame) -> DataFrame:
     """Up to four headline groups of sufficient size, one row each."""
-    fields = ("analysis_group", "status", "paid_ticket_gap", "ticket_index", "usual_purchase_window")
-
-    def best(index: DataFrame, test: Column, order: list[Column | str], position: int, name: str) -> DataFrame:
-        row = index.filter(test & F.col("meets_min_size")).agg(F.min_by(F.struct(*fields), F.struct(*order, F.col("analysis_group").alias("_g"))).alias("r"))
-        return row.filter("r is not null").select(F.lit(position).alias("position"), F.lit(name).alias("highlight"), "r.*")
-
     from boxline.operators.index import status_rank
 
-    risky, rank = F.col("status").isin(*RISKY), status_rank(F.col("status")).alias("_rank")
-    gap = F.col("paid_ticket_gap").alias("_gap")
+    fields = ("analysis_group", "status", "paid_ticket_gap", "ticket_index", "usual_purchase_window")
+    risky, rank, gap = F.col("status").isin(*RISKY), status_rank(F.col("status")), F.col("paid_ticket_gap")
+
+    def best(index: DataFrame, *wanted: tuple[int, str, Column, list[Column]]) -> DataFrame:
+        """The first row of each wanted kind, in one pass over the index."""
+        found = []
+        for position, name, test, order in wanted:
+            # Rows that fail the test have no sort key and never come first.
+            key = F.when(test & F.col("meets_min_size"), F.struct(*[c.alias(f"_{i}") for i, c in enumerate((*order, F.col("analysis_group")))]))
+            found.append(F.struct(F.lit(position).alias("position"), F.lit(name).alias("highlight"), F.min_by(F.struct(*fields), key).alias("r")))
+        rows = index.agg(F.array(*found).alias("found")).select(F.explode("found").alias("f")).select("f.position", "f.highlight", "f.r")
+        return rows.filter("r is not null").select("position", "highlight", "r.*")
+
     # Risky rows come by gap; equal gaps keep the report's order, most serious first.
-    return (
-        best(audience, risky, [gap, rank], 1, "audience watch item")
-        .unionByName(best(audience, F.col("status") == "Not due yet", [gap, (-F.col("expected_final_paid_tickets")).alias("_final")], 2, "not due yet"))
-        .unionByName(best(ticket_class, risky, [gap, rank], 3, "ticket class watch item"))
-        .unionByName(best(ticket_class, F.col("status") == "Ahead", [(-F.col("ticket_index")).alias("_index"), gap], 4, "positive trend"))
+    return best(
+        audience, (1, "audience watch item", risky, [gap, rank]), (2, "not due yet", F.col("status") == "Not due yet", [gap, -F.col("expected_final_paid_tickets")])
+    ).unionByName(
+        best(ticket_class, (3, "ticket class watch item", risky, [gap, rank]), (4, "positive trend", F.col("status") == "Ahead", [-F.col("ticket_index"), gap]))
     )

@@ -172,13 +172,30 @@ SEGMENT_PRODUCT = GroupKind("segment_product", uses_segments=True, product=True)
 KINDS = {kind.name: kind for kind in (SEGMENT, TICKET_TYPE, TICKET_CLASS, SEGMENT_PRODUCT)}
 
 
+def product_of(df: DataFrame, kind: GroupKind) -> Column:
+    """Ticket product that a breakdown goes by."""
+    names = ("price_type", "ticket_type") if kind is TICKET_TYPE else ("ticket_class",)
+    name = next((n for n in names if has(df, n)), None)
+    return F.coalesce(F.col(name), F.lit("Unknown")) if name else F.lit("Unknown")
+
+
+def with_masks(df: DataFrame, kind: GroupKind, keep: list[str], high_value_from: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """The kept columns, the product, and the labels of each row as the bits of ``_mask``; and the label of each bit."""
+    if not kind.uses_segments:
+        return df.select(*keep, product_of(df, kind).alias("_product"), F.lit(1).cast("long").alias("_mask")), []
+    segments = ticket_segments(df, high_value_from)
+    mask = F.lit(0).cast("long")
+    for i, test in enumerate(segments.values()):
+        mask = mask + F.when(test, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return df.select(*keep, product_of(df, kind).alias("_product"), mask.alias("_mask")), list(segments)
+
+
 def with_groups(df: DataFrame, kind: GroupKind, keep: list[str], high_value_from: Column | None = None) -> DataFrame:
     """One copy of a row per index group it belongs to, with the kept columns only.
 
     Columns are dropped before the rows multiply.
     """
-    has_class = has(df, "ticket_class")
-    product = F.coalesce(F.col("ticket_class"), F.lit("Unknown")) if has_class else F.lit("Unknown")
+    product = product_of(df, kind)
     if kind.uses_segments:
         labels = labels_of(ticket_segments(df, high_value_from))
         rows = df.select(*keep, labels.alias("_labels"), product.alias("_product"))
@@ -186,9 +203,6 @@ def with_groups(df: DataFrame, kind: GroupKind, keep: list[str], high_value_from
         if kind.product:
             rows = rows.withColumn("analysis_group", F.concat("analysis_group", F.lit(" x "), "_product"))
         return rows.drop("_product")
-    if kind is TICKET_TYPE:
-        name = "price_type" if has(df, "price_type") else "ticket_type"
-        product = F.coalesce(F.col(name), F.lit("Unknown")) if has(df, name) else F.lit("Unknown")
     return df.select(*keep, product.alias("analysis_group"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boxline.functions import dates, keys
 from boxline.functions.numbers import safe_ratio
@@ -16,31 +16,34 @@ BAD_DATE_SHARE, CUSTOMER_JOIN, FIXTURE_JOIN, DUPLICATE_SHARE = 0.05, 0.5, 0.85,
 LOW_COVERAGE = 40
 COVERAGE_FIELDS = ("age_band", "gender", "postcode", "state", "family_flag", "marketing_opt_in", "email_opt_in", "sms_opt_in")
 BOOLEAN_WORDS = ("yes", "no", "y", "n", "true", "false", "1", "0")
-EXAMPLE_ROWS, EXAMPLES, EXAMPLE_CHARS = 5000, 3, 48
+EXAMPLES, EXAMPLE_CHARS = 3, 48
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, row_number: str = "source_row_number") -> DataFrame:
     """Per column: filled and blank counts, examples and a guessed type.
 
-    Counts and types cover every row. Examples come from the first rows only.
+    Everything covers every row. Examples are the first filled values by row
+    number, or the smallest ones where rows have no number; the rank limit works
+    before the shuffle too, so a few rows a task and column move.
     """
     names = [c for c in (columns or df.columns) if c != row_number]
-    order = F.col(row_number) if has(df, row_number) else F.monotonically_increasing_id()
+    order = F.col(row_number) if has(df, row_number) else F.lit(0)
     rows = df.select(order.alias("_row"), *[F.col(c).cast("string").alias(c) for c in names])
     long = rows.unpivot("_row", names, "column", "_raw").withColumn("value", clean_text("_raw")).drop("_raw")
     value = F.col("value")
     rate = lambda test: F.avg(F.when(value.isNotNull(), test.cast("int")))
     number = F.translate(value, "$,()%", "").rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
-    first = F.when((F.col("_row") <= EXAMPLE_ROWS) & value.isNotNull(), F.struct("_row", F.substring("value", 1, EXAMPLE_CHARS).alias("v")))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("_row", "value"))
+    first = long.filter(value.isNotNull()).withColumn("_place", place).filter(F.col("_place") <= EXAMPLES)
+    first = first.groupBy("column").agg(F.array_agg(F.struct("_place", F.substring("value", 1, EXAMPLE_CHARS).alias("v"))).alias("_first"))
     stats = long.groupBy("column").agg(
         F.count("value").alias("non_blank"),
         F.count_if(value.isNull()).alias("blank"),
         rate(dates.parse_date(value).isNotNull()).alias("_date"),
         rate(number).alias("_number"),
         rate(F.lower(value).isin(*BOOLEAN_WORDS)).alias("_boolean"),
-        F.array_agg(first).alias("_first"),
-    )
-    examples = F.transform(F.slice(F.sort_array("_first"), 1, EXAMPLES), lambda e: e.getField("v"))
+    ).join(first, "column", "left")
+    examples = F.coalesce(F.transform(F.sort_array("_first"), lambda e: e.getField("v")), F.array().cast("array<string>"))
     kind = (
         F.when(F.col("non_blank") == 0, "empty")
         .when(F.col("_date") >= 0.75, "date")

@@ -271,3 +271,16 @@ def test_match_keeps_rows_and_soft_needs_one(spark):
     rows = rows.union(rows.limit(1).withColumns({"opponent": F.lit("b"), "match_date": F.lit(None).cast("date")}))
     got = sorted((str(r.fixture_id), r.fixture_match_score) for r in mt.match_tickets(rows, fx).collect())
     assert got == [("None", 0.0), ("f1", 0.72), ("f1", 0.72), ("f1", 1.0)]
+
+
+def test_profile_examples_come_from_all_rows(spark):
+    from boxline.operators.quality import profile_columns
+
+    rows = [(n, None if n < 9000 else f"{n} tickets", "5" if n % 2 else " ") for n in range(1, 9011)]
+    frame = spark.createDataFrame(rows, "source_row_number long, late string, number string")
+    got = {r["column"]: r for r in profile_columns(frame).collect()}
+    assert got["late"].example_values == "9000 tickets, 9001 tickets, 9002 tickets" and got["late"].non_blank == 11
+    assert got["number"].example_values == "5, 5, 5" and got["number"].inferred_type == "number" and got["number"].blank == 4505
+    unnumbered = {r["column"]: r for r in profile_columns(frame.drop("source_row_number")).collect()}
+    assert unnumbered["late"].example_values == "9000 tickets, 9001 tickets, 9002 tickets"
+    assert profile_columns(frame.where("late is null").select("late")).first().example_values == ""

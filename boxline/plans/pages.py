@@ -78,7 +78,7 @@ def marketing_planner(tickets, customers, matches, season_label: str, competitio
     for kind in ix.seg.KINDS:
         page[f"index_{kind}"] = ix.expected_index(tickets, customers, matches, season_label, competition, as_at, kind, baseline)
     page["recommendations"] = recommend.present(
-        recommend.marketing_recommendations(page["index_segment"], min_marketable), recommend.RECOMMENDATION_COLUMNS
+        recommend.marketing_recommendations(page["index_segment"], min_marketable), ("rank", *recommend.RECOMMENDATION_COLUMNS)
     )
     page["windows"] = summaries.window_summary(tickets.filter(F.col("season_label") == season_label))
     page["coverage"] = quality.demographic_coverage(customers)

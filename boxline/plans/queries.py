@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -1031,3 +1032,74 @@ def snapshot_freshness(spark, sf_dir):
     fresh = quality.snapshot_freshness(m.snapshot, "2024-11-20").withColumn("case", F.lit("fresh"))
     ahead = quality.snapshot_freshness(m.tickets, "2024-11-20").withColumn("case", F.lit("ahead"))
     return stale.unionByName(fresh).unionByName(ahead)
+
+
+# --- pages ------------------------------------------------------------------------------------------
+
+
+@query
+def page_forecasting_drafts(spark, sf_dir):
+    m = star.load(spark, sf_dir)
+    return pages.fixture_forecasting(outputs.forecast_table(m.planned, typical_forecasts(m)), saved(spark, sf_dir))["drafts"].drop("fixture")
+
+
+@query
+def page_tracker_highlights(spark, sf_dir):
+    m = star.load(spark, sf_dir)
+    f = TicketFilter(season_label=star.PLANNING_LABEL)
+    return pages.season_tracker(m.tickets, m.customers, m.fixtures, m.matches, f, star.AS_AT, star.BASELINE, typical_forecasts(m))["highlights"]
+
+
+@query
+def page_breakdown_curve(spark, sf_dir):
+    m = star.load(spark, sf_dir)
+    f = replace(FAMILY, season_label=star.PLANNING_LABEL, competition="BBL")
+    return pages.target_breakdown(m.tickets, m.matches, f, star.BASELINE, SEASON_START, EVENT_DATE, star.AS_AT, saved(spark, sf_dir), 50000.0)["curve"]
+
+
+def planner(spark, sf_dir) -> pages.Page:
+    m = star.load(spark, sf_dir)
+    return pages.marketing_planner(m.tickets, m.customers, m.matches, star.PLANNING_LABEL, "All", star.AS_AT, star.BASELINE, 300)
+
+
+@query
+def page_planner_recommendations(spark, sf_dir):
+    return planner(spark, sf_dir)["recommendations"]
+
+
+@query
+def page_planner_coverage(spark, sf_dir):
+    return planner(spark, sf_dir)["coverage"]
+
+
+@query
+def page_planning_early_segments(spark, sf_dir):
+    m = star.load(spark, sf_dir)
+    page = pages.audience_planning(m.tickets, m.customers, m.matches, star.PLANNING_LABEL, "All", star.AS_AT, star.BASELINE, "ticket_class", 10)
+    return page["early_segments"]
+
+
+@query
+def page_recommended_windows(spark, sf_dir):
+    m = star.load(spark, sf_dir)
+    return pages.recommended(m.tickets, m.customers, star.PLANNING_LABEL, 20)["windows"]
+
+
+@query
+def page_report_insights(spark, sf_dir):
+    m = star.load(spark, sf_dir)
+    f = TicketFilter(season_label=star.PLANNING_LABEL)
+    return pages.report(m.tickets, m.customers, m.fixtures, m.matches, f, star.AS_AT, star.BASELINE, typical_forecasts(m), 120000.0, 150000.0)["insights"]
+
+
+@query
+def page_overview_seasons(spark, sf_dir):
+    m = star.load(spark, sf_dir)
+    page = pages.historical_overview(m.tickets, m.fixtures, m.customers, m.matches, m.daily, "BBL", [*star.BASELINE, star.PLANNING_LABEL], star.AS_AT)
+    return page["seasons"]
+
+
+@query
+def page_admin_metrics(spark, sf_dir):
+    m = star.load(spark, sf_dir)
+    return pages.data_admin(m.tickets, m.fixtures, m.customers, cust.enrich_demographics(m.tickets, m.customers), star.AS_AT)["metrics"]

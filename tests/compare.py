@@ -16,7 +16,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from boxline.plans import oracle_audience, oracle_curves  # noqa: E402, F401
+from boxline.plans import oracle_pages  # noqa: E402, F401
 from boxline.plans.oracle import ORACLE  # noqa: E402
 from boxline.plans.queries import QUERIES  # noqa: E402
 

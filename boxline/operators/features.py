@@ -8,6 +8,7 @@ from boxline.functions import dates
 from boxline.functions.numbers import clip
 from boxline.operators.matches import completed_matches
 
+# Names of the model inputs, and the match columns that they come from.
 CATEGORICAL = (
     "opponent", "venue", "competition", "day_of_week", "event_category", "campaign_theme", "sales_window", "marketing_period",
 )

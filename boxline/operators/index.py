@@ -19,6 +19,7 @@ THRESHOLDS = {"ahead": 1.10, "on_track": 0.95, "watch": 0.85, "behind": 0.70}
 STATUS_RANK = {"At risk": 0, "Behind": 1, "Watch": 2, "Not due yet": 3, "On track": 4, "Ahead": 5}
 DEFAULT_SEASONS = 3
 
+# Columns of the result.
 INDEX_COLUMNS = (
     "analysis_group", "definition", "current_paid_tickets", "current_comps", "current_total_tickets",
     "current_revenue", "current_unique_purchasers", "current_average_basket_size",

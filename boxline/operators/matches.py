@@ -22,6 +22,7 @@ HOLIDAYS = ("12-31", "01-26")
 NEW_YEAR = "12-31"
 DEFAULT_BASELINE = 5000.0
 
+# Columns of the result.
 MATCH_COLUMNS = (
     "match_id", "season", "season_label", "competition", "team", "round", "home_match_number",
     "opponent", "venue", "event_date", "on_sale_date", "early_bird_start", "early_bird_end",
@@ -32,6 +33,7 @@ MATCH_COLUMNS = (
     "school_holiday", "double_header", "finals_contention", "baseline_target",
     "manual_target", "planning_season", "fixture_status", "is_assumed", "capacity_total",
 )
+# Columns of the result.
 DAILY_COLUMNS = (
     "match_id", "date", "days_to_event", "daily_sales", "cumulative_sales", "sales_window",
     "marketing_period", "is_public_holiday", "is_campaign_burst", "membership_on_sale",

@@ -17,6 +17,7 @@ DIAGNOSTIC_SIZE = 250
 EARLY_MONTH = 8
 EARLY_DAYS = 30
 
+# Columns of the result.
 RECOMMENDATION_COLUMNS = (
     "analysis_group", "definition", "marketable_audience_size", "current_unique_purchasers",
     "expected_purchasers_by_now", "actual_purchase_rate", "expected_purchase_rate", "purchase_rate_index",

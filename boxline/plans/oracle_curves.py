@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from boxline.operators.features import CATEGORICAL, NUMERIC
 from boxline.plans.oracle import AS_AT, BASE, PLAN, entry, part, r6
 
+# Model inputs, written out here on their own.
+CATEGORICAL = (
+    "opponent", "venue", "competition", "day_of_week", "event_category", "campaign_theme", "sales_window", "marketing_period",
+)
+NUMERIC = (
+    "season", "round", "days_to_event", "days_on_sale", "sales_progress", "cumulative_sales", "daily_sales",
+    "trailing_3_day_sales", "trailing_7_day_sales", "sales_acceleration", "opponent_strength", "historical_attendance",
+    "ticket_price", "membership_base", "prior_season_performance", "weather_temp_c", "is_public_holiday", "is_campaign_burst",
+    "membership_on_sale", "early_bird_active", "finals_contention", "school_holiday", "double_header", "event_month",
+    "is_weekend_event", "days_since_early_bird_start",
+)
+
 START = "DATE '2024-08-01'"
 LENGTH = 198  # days from 1 August 2024 to 15 February 2025
 OFFSET = f"least(greatest(date_diff('day', make_date(season, 8, 1), CAST(transaction_date AS DATE)), 0), {LENGTH})"

@@ -18,6 +18,7 @@ import re
 import sys
 import zlib
 from array import array
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from boxline.llm.common import stored, text_of
 
 CAPACITY = 2048
 _RANK_BITS = 40
-_CACHED = 500_000  # words kept in a task's lookup; a full one starts anew
+_CACHED = 600_000  # words kept in a worker's lookup; later ones are encoded each time
 _RUN_OF_SPACE = re.compile(r"\s\s")
 
 
@@ -63,15 +64,22 @@ class Encoder:
         if _RUN_OF_SPACE.search(text) or any(s in text for s in self.special):
             return self._encode([text])[0]
         chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-        words = self.words
-        try:
-            return b"".join([words[c] for c in chunks])
-        except KeyError:
-            if len(words) > _CACHED:
-                words.clear()
-            new = list({c for c in chunks if c not in words})
-            words.update(zip(new, self._encode(new)))
-            return b"".join([words[c] for c in chunks])
+        found = list(map(self.words.get, chunks))
+        if None in found:
+            new = list({c for c, f in zip(chunks, found) if f is None})
+            encoded = dict(zip(new, self._encode(new)))
+            found = [encoded[c] if f is None else f for c, f in zip(chunks, found)]
+            if len(self.words) < _CACHED:
+                self.words.update(encoded)
+        return b"".join(found)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which keeps the words that earlier tasks looked up."""
+    held = sys.modules.setdefault("boxline_llm_worker", ModuleType("boxline_llm_worker")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
@@ -85,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches):
-        encode, part, ranks = Encoder(tokenizer), TaskContext.get().partitionId(), {}
+        encode, part, ranks = encoder(tokenizer), TaskContext.get().partitionId(), {}
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from boxline.llm.common import stored
 
 SAMPLE = 20_000  # vectors that the tree is fitted on, about
-BRANCHES = 16
-LEAF = 64  # sampled vectors of a leaf, at most
+BRANCHES = 8
+LEAF_ROWS = 512  # rows of a leaf, at most about; leaves also hold LEAST_LEAF sampled vectors or they are not split
+LEAST_LEAF = 32
 CALIBRATION = 200  # queries whose true neighbours are found, about
-RECALL = 0.97
+RECALL = 0.95
 BLOCK = 4096  # vectors, and queries, of one block of a leaf, about
 _SPACE = 1_000_003
 
@@ -50,7 +51,7 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
 
 
-def fit_tree(points: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF, seed: int = 1) -> list[tuple[np.ndarray, list[int]]]:
+def fit_tree(points: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF_ROWS, seed: int = 1) -> list[tuple[np.ndarray, list[int]]]:
     """Nodes ``(centres, children)``; a child from 0 is a node, a negative one is leaf ``-child - 1``. Node 0 is the root."""
     rng, nodes, leaves = np.random.default_rng(seed), [], 0
 
@@ -146,7 +147,7 @@ def _top(rows: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def nearest_neighbours(
-    embeddings: DataFrame, vector: str = "embedding", every: int = 100, k: int = 10, recall: float = RECALL, sample: int = SAMPLE, leaf: int = LEAF, calibration: int = CALIBRATION, block: int = BLOCK
+    embeddings: DataFrame, vector: str = "embedding", every: int = 100, k: int = 10, recall: float = RECALL, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, calibration: int = CALIBRATION, block: int = BLOCK
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` (Euclidean distance) of the ``k`` nearest rows found for each query.
 
@@ -162,12 +163,13 @@ def nearest_neighbours(
     distinct = rows.withColumn("n", order).where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     distinct = stored(distinct, "vectors")
     total = distinct.count()
-    chosen = distinct.where(_part(F.col("v"), min(1.0, sample / max(total, 1)))).select("v").toArrow()
+    share = min(1.0, sample / max(total, 1))
+    chosen = distinct.where(_part(F.col("v"), share)).select("v").toArrow()
     points = _matrix(chosen["v"]) if chosen.num_rows else np.zeros((0, 1))
     if total and not len(points):
         points = _matrix(distinct.select("v").limit(1).toArrow()["v"])
     points = points[np.lexsort(points.T[::-1])]
-    tree = spark.sparkContext.broadcast(fit_tree(points, leaf=leaf))
+    tree = spark.sparkContext.broadcast(fit_tree(points, leaf=max(LEAST_LEAF, int(leaf_rows * share))))
 
     def to_leaf(batches):
         for batch in batches:

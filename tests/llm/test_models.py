@@ -125,7 +125,7 @@ def test_neighbours(spark):
     rows = [(i, [None if x is None else float(np.float32(x)) for x in v] if v is not None else None) for i, v in rows]
     want = dict(brute_neighbours(rows, 10, 10))
     got = {}
-    for x in neighbours.nearest_neighbours(frame, every=10, k=10, recall=1.0, leaf=16, block=50).collect():
+    for x in neighbours.nearest_neighbours(frame, every=10, k=10, recall=1.0, leaf_rows=40, block=50).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["score"], x["vec_id"]))
     assert set(got) == set(want)
     hits = sum(len({i for _, _, i in got[q]} & {i for _, i in near}) for q, near in want.items())

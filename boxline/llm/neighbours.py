@@ -9,7 +9,8 @@ until the wanted share of them lies in a visited leaf.
 
 Equal vectors collapse to one with its smallest ids, which is all that a list of
 ``k`` neighbours can hold of them, so copies make neither hot leaves nor hot
-queries. Leaves are searched in blocks of vectors and queries of bounded size.
+queries. Leaves share shelves, which are searched in blocks of vectors and
+queries of bounded size.
 """
 
 from __future__ import annotations
@@ -121,6 +122,17 @@ def closest(queries: np.ndarray, points: np.ndarray, ids: list[list[int]], k: in
     return out
 
 
+def shelves(sizes: dict[int, int], block: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Shelf of each leaf, and rows of each shelf: leaves in order, a new shelf once one holds ``block`` rows."""
+    shelf_of, filled, shelf = {}, {}, 0
+    for leaf in sorted(sizes):
+        if filled.get(shelf, 0) and filled[shelf] + sizes[leaf] > block:
+            shelf += 1
+        shelf_of[leaf] = shelf
+        filled[shelf] = filled.get(shelf, 0) + sizes[leaf]
+    return shelf_of, filled
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -204,36 +216,53 @@ def nearest_neighbours(
     places = sorted(place[r["query"]][r["leaf"]] for r in true)
     visits = places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)] + 1 if places else 1
 
-    # Blocks: the numbers of vectors and of queries of each leaf, bounded by the leaves of the tree.
+    # Neighbouring leaves share a shelf of about one block of vectors, so a query gets one list from all leaves of a shelf
+    # that it visits. The counts are bounded by the leaves of the tree.
+    sizes = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shelf_of, filled = shelves(sizes, block)
+    vector_blocks = {shelf: -(-rows_held // (2 * block)) for shelf, rows_held in filled.items()}
+
     def to_bins(batches):
         for batch in batches:
-            found = [best_bins(v, tree.value, visits) for v in (_matrix(batch.column(0)) if batch.num_rows else ())]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([x for f in found for x in f], pa.int64())], ["v", "query", "leaf"])
-
-    routed = stored(queries.select("v", "query").mapInArrow(to_bins, "v array<double>, query long, leaf long"), "routes")
-
-    def blocks_of(frame: DataFrame) -> Column:
-        counts = {r["leaf"]: -(-r["n"] // block) for r in frame.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-        large = {leaf: c for leaf, c in counts.items() if c > 1}
-        if not large:
-            return F.lit(1)
-        return F.coalesce(F.create_map(*(F.lit(x).cast("long") for pair in large.items() for x in pair)).getItem(F.col("leaf")), F.lit(1).cast("long"))
-
-    vector_blocks, query_blocks = blocks_of(indexed), blocks_of(routed)
-    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))
-    held = indexed.withColumn("vb", F.pmod(F.xxhash64("v"), vector_blocks)).withColumn("qb", each(query_blocks))
-    sent = routed.withColumn("qb", F.pmod(F.xxhash64("v"), query_blocks)).withColumn("vb", each(vector_blocks))
+            flat = []
+            for at, point in enumerate(_matrix(batch.column(0)) if batch.num_rows else ()):
+                by_shelf: dict[int, list[int]] = {}
+                for found in best_bins(point, tree.value, visits):
+                    if found in shelf_of:
+                        by_shelf.setdefault(shelf_of[found], []).append(found)
+                flat += [(at, shelf, held) for shelf, held in by_shelf.items()]
+            at, shelf, held = zip(*flat) if flat else ((), (), ())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(shelf, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["v", "query", "shelf", "leaves"])
+
+    routed = stored(queries.select("v", "query").mapInArrow(to_bins, "v array<double>, query long, shelf long, leaves array<long>"), "routes")
+    query_blocks = {r["shelf"]: -(-r["n"] // block) for r in routed.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def number(column: Column, values: dict[int, int]) -> Column:
+        """Value of each key, 1 where there is none; the keys are numbered from 0."""
+        return F.coalesce(F.get(F.array(*(F.lit(values.get(i, 1)) for i in range(max(values, default=0) + 1))), column.cast("int")), F.lit(1)).cast("long")
+
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    shelf = F.col("shelf")
+    held = indexed.withColumn("shelf", number(F.col("leaf"), shelf_of)).withColumn("vb", F.pmod(F.xxhash64("v"), number(shelf, vector_blocks)))
+    held = held.withColumn("qb", each(number(shelf, query_blocks)))
+    sent = routed.withColumn("qb", F.pmod(F.xxhash64("v"), number(shelf, query_blocks))).withColumn("vb", each(number(shelf, vector_blocks)))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat = []
+        near: dict[int, list[tuple[float, int]]] = {}
         if left.num_rows and right.num_rows:
-            found = closest(_matrix(right["v"]), _matrix(left["v"]), left["ids"].to_pylist(), k + 1)
-            flat = [(q, d, i) for q, near in zip(right["query"].to_pylist(), found) for d, i in near]
-        q, d, i = zip(*flat) if flat else ((), (), ())
-        return pa.table({"query": pa.array(q, pa.int64()), "score": pa.array(d, pa.float64()), "vec_id": pa.array(i, pa.int64())})
-
-    keys = ["leaf", "vb", "qb"]
+            points, wanted, ids, names = _matrix(left["v"]), _matrix(right["v"]), left["ids"].to_pylist(), right["query"].to_pylist()
+            leaf, visited = left["leaf"].to_numpy(), right["leaves"].to_pylist()
+            for one in np.unique(leaf).tolist():
+                here, asking = np.flatnonzero(leaf == one), [i for i, x in enumerate(visited) if one in x]
+                if asking:
+                    for i, found in zip(asking, closest(wanted[asking], points[here], [ids[j] for j in here], k + 1)):
+                        near[i] = sorted(near.get(i, []) + found)[: k + 1]
+        flat = [(names[i], d, v) for i, found in near.items() for d, v in found]
+        q, d, v = zip(*flat) if flat else ((), (), ())
+        return pa.table({"query": pa.array(q, pa.int64()), "score": pa.array(d, pa.float64()), "vec_id": pa.array(v, pa.int64())})
+
+    keys = ["shelf", "vb", "qb"]
     found = held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(search, "query long, score double, vec_id long")
     lists = _top(found, "query", k + 1).join(queries, "query").select("v", "near")
     answers = asked.join(lists, "v").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("near"))

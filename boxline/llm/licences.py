@@ -1,7 +1,8 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-A document is compared as a whole, by paragraph and by line, each normalised to
-lower-case words without copyright lines. A unit of ``a`` distinct bigrams and
+A document is compared as a whole, by paragraph, by line and by runs of adjacent
+lines (of any paragraphs), each normalised to lower-case words without copyright
+lines. A unit of ``a`` distinct bigrams and
 a template of ``b`` reach a coefficient ``t`` only if they share at least
 ``t b / (2 - t)`` bigrams and if ``b t / (2 - t) <= a <= b (2 - t) / t``; units
 and templates outside these bounds are never compared. Templates are a bounded
@@ -79,7 +80,7 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TOKENS = re.compile(r"\n|" + _WORD)
 _COPYRIGHT = r"(^|\n)[ \t]*(?:copyright|\(c\))[^\n]*"
 _COPYRIGHT_LINE = re.compile(_COPYRIGHT)
-_UNITS = ("line", "paragraph", "text")
+_UNITS = ("line", "paragraph", "text", "run")
 
 
 def tokens_of(text: str) -> list[str]:
@@ -93,8 +94,8 @@ def tokens_of(text: str) -> list[str]:
 class Scanner:
     """Compares texts with the templates."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
-        self.threshold, self.numbers, self.templates = threshold, {"\n": 1}, []
+    def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float, runs: bool = False):
+        self.threshold, self.numbers, self.templates, self.runs = threshold, {"\n": 1}, [], runs
         for name, text in templates:
             words = [w for w in tokens_of(text) if w != "\n"]
             grams = set(zip(words, words[1:]))
@@ -124,6 +125,53 @@ class Scanner:
                 if dice >= self.threshold and (-dice, kind) < best.get(name, (0, 0)):
                     best[name] = (-dice, kind)
 
+    def _runs(self, words: list[str], line: np.ndarray, places: np.ndarray, hits: np.ndarray, best: dict) -> None:
+        """The best run of adjacent lines for each template.
+
+        A run that is better than all shorter ones starts in a line with a known
+        bigram, ends in one, and does not repeat all the known bigrams of its first
+        line. Gaps between equal bigrams add up to the text, so the work is linear in
+        it for each bigram of a template.
+        """
+        near = np.flatnonzero(self.member[:, np.unique(hits)].sum(axis=1) >= self.need)
+        if not len(near):
+            return
+        edges = np.append(np.searchsorted(line, np.arange(line[-1] + 1)), len(words)).tolist()
+        for i in near:
+            name, grams = self.templates[i]
+            held = self.member[i, hits]
+            at, which = places[held], hits[held].tolist()
+            first, last = line[at].tolist(), line[at + 1].tolist()
+            again, seen = [0] * len(which), {}
+            for k in range(len(which) - 1, -1, -1):
+                again[k] = seen.get(which[k], edges[-1])
+                seen[which[k]] = last[k]
+            low, high, k = self.low[i], self.high[i], 0
+            while k < len(which):
+                start, until = first[k], -1
+                head = k
+                while k < len(which) and first[k] == start:
+                    # A bigram over the end of the first line is lost with it only if the line is.
+                    until = max(until, again[k])
+                    k += 1
+                shared, size, done, j = set(), set(), edges[start], head
+                while j < len(which):
+                    end = last[j]
+                    if end >= until and end > start:
+                        break
+                    while j < len(which) and last[j] == end:
+                        shared.add(which[j])
+                        j += 1
+                    stop = edges[end + 1]
+                    size.update(zip(words[max(done - 1, edges[start]) : stop - 1], words[max(done, edges[start] + 1) : stop]))
+                    done = stop
+                    if len(size) > high:
+                        break
+                    if len(shared) >= self.need[i] and len(size) >= low:
+                        dice = 2 * len(shared) / (len(size) + len(grams))
+                        if dice >= self.threshold and (-dice, 3) < best.get(name, (0, 0)):
+                            best[name] = (-dice, 3)
+
     def _bigrams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the bigrams that some template has, and their numbers."""
         codes = ids[:-1] * self.base + ids[1:]
@@ -157,19 +205,22 @@ class Scanner:
                 own = hits[inside & (unit == u)]
                 if len(own) >= self.need.min():
                     self._unit(words[edges[u] : edges[u + 1]], own, kind, best)
+        if self.runs:
+            self._runs(words, np.concatenate([[0], np.cumsum(breaks > 0)]), places, hits, best)
         return sorted((name, -dice, _UNITS[kind]) for name, (dice, kind) in best.items())
 
 
-def scan_licences(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licences(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, runs: bool = True) -> DataFrame:
     """``doc_id``, ``licence``, ``dice`` and ``unit`` of every licence found in a document.
 
-    A licence with several templates counts once, by the best. Null and empty
+    A licence with several templates counts once, by the best. Without ``runs``,
+    only lines, paragraphs and whole texts are compared, as the SQL does. Null and empty
     texts and texts of one word have no bigrams and match nothing; repeated rows
     give repeated results; an empty table or no templates give an empty result.
     """
 
     def run(batches):
-        scan = Scanner(templates, threshold)
+        scan = Scanner(templates, threshold, runs)
         for batch in batches:
             rows = [(d, *found) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for found in scan(t)]
             columns = list(zip(*rows)) or [()] * 4

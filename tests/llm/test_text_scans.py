@@ -47,6 +47,46 @@ def test_licences_by_brute_force():
         assert scan(text) == sorted((n, -d, ("line", "paragraph", "text")[k]) for n, (d, k) in best.items()), text
 
 
+def test_licences_by_runs_of_lines():
+    import random
+
+    words = ["mit", "licence", "under", "the", "released", "x", "y"]
+    templates = (("A", "released under the mit licence"), ("B", "under the licence the mit x under the"), ("A", "x y x"))
+    grams = lambda text: set(zip(w := re.findall(r"[a-z0-9]+", text), w[1:]))
+    scan, units = licences.Scanner(templates, 0.6, runs=True), licences.Scanner(templates, 0.6)
+    r, more = random.Random(4), 0
+    for _ in range(2000):
+        text = "".join(r.choice(words) + r.choice([" ", " ", ", ", "\n", "\n\n", "\n#\n"]) for _ in range(r.randint(0, 30)))
+        lines, best = text.split("\n"), {}
+        for i, j in ((i, j) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)):
+            a = grams("\n".join(lines[i:j]))
+            for name, t in templates:
+                dice = 2 * len(a & grams(t)) / (len(a) + len(grams(t)))
+                if dice >= 0.6:
+                    best[name] = max(best.get(name, 0), dice)
+        found = scan(text)
+        assert {n: d for n, d, _ in found} == best, text
+        plain = {n: (d, k) for n, d, k in units(text)}
+        assert all(k == "run" or plain[n] == (d, k) for n, d, k in found)
+        more += len(best) > len(plain)
+    assert more > 50
+
+
+def test_notices_of_several_paragraphs_inside_documents(spark):
+    filler = "\n".join(f"word{i} other{i} more{i} text{i}" for i in range(200))
+    rows = []
+    for name, text in licences.TEMPLATES:
+        if len(text) > 200:
+            parts = re.split(r"(?<=\.) ", text.replace("\n", " "))
+            half = (len(parts) + 1) // 2
+            for between in ("\n\n", "\n#\n# "):
+                notice = between.join((" ".join(parts[:half]), " ".join(parts[half:])))
+                rows += [(len(rows), f"{filler}\n\n{notice}\n\n{filler}", name), (len(rows) + 1, f"{filler}\n{notice}\n{filler}", name)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {(r["doc_id"], r["licence"]): (r["dice"], r["unit"]) for r in licences.scan_licences(docs).collect()}
+    assert all(found.get((i, name)) == (1.0, "run") for i, _, name in rows)
+
+
 def test_licence_odd_rows(spark, odd, none):
     assert licences.scan_licences(odd).count() == 0
     assert licences.scan_licences(none).count() == 0

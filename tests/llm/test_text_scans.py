@@ -87,6 +87,15 @@ def test_notices_of_several_paragraphs_inside_documents(spark):
     assert all(found.get((i, name)) == (1.0, "run") for i, _, name in rows)
 
 
+def test_whole_bsd_texts_and_further_notices():
+    scan, texts = licences.Scanner(licences.TEMPLATES, 0.8, runs=True), dict(licences.TEMPLATES)
+    sizes = {name: len(grams) for name, grams in scan.templates}
+    assert sizes["BSD-2-Clause"] == 165 and sizes["BSD-3-Clause"] > 185
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "LGPL-3.0"):
+        found = {licence: dice for licence, dice, _ in scan("Copyright (c) 2020, Somebody\nAll rights reserved.\n\n" + texts[name].replace("met: 1.", "met:\n\n1."))}
+        assert found[name] == max(found.values()) == 1
+
+
 def test_licence_odd_rows(spark, odd, none):
     assert licences.scan_licences(odd).count() == 0
     assert licences.scan_licences(none).count() == 0

@@ -109,6 +109,20 @@ def test_kneser_ney_gives_what_is_not_seen_to_both_models_alike():
     assert np.allclose(even(["a b a", "zzz"]), 0)
 
 
+def test_words_are_weighed_by_their_distinct_predecessors(spark):
+    texts = [f"san francisco lone{i} various" for i in range(8)] + [f"{w} free" for w in ("san", "big", "red", "old", "new", "wet", "dry", "low")]
+    sample = spark.createDataFrame([(1, t) for t in texts] + [(0, "san francisco"), (0, "red frantic")], "target int, text string")
+    rows = {(r["level"], r["word"]): (r["toxic"], r["ordinary"]) for r in toxicity.continuations(toxicity.counts_of(sample)).collect()}
+    assert rows["word", "francisco"] == (1, 1) and rows["word", "free"] == (8, 0) and rows["word", "various"] == (8, 0)
+    assert rows["4", "fran"] == (1, 2) and rows["6", "variou"] == (8, 0) and ("4", "free") not in rows and rows["word", "san"] == (1, 1)
+    # In the model, a word of one fixed phrase weighs less than an equally frequent one after many words.
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    docs = spark.createDataFrame(list(zip(ids, [f"{t} end{i}" for i, t in enumerate(texts)] + [f"plain text{i}" for i in range(6)])), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(text not like 'plain%' as int) as toxic")
+    words = toxicity.train(docs, labels)[0]["words"]
+    assert words["free"][0] > 5 * words["francisco"][0] > 0
+
+
 def brute_neighbours(rows, every, k):
     usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 4]
     for q, a in usable:

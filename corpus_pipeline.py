@@ -35,8 +35,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in training sequences."""
-    return packing.pack_documents(docs, tokenizer_path(), capacity=2048)
+    """Pieces of the documents with their token ids and places in training sequences."""
+    return packing.pack_documents(docs, tokenizer_path(), capacity=2048, with_ids=True)
 
 
 STAGES = [

@@ -169,6 +169,11 @@ def test_encoder_agrees_with_the_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_pipeline_keeps_the_tokens(spark, odd):
+    rows = corpus_pipeline.STAGES[-1][1](spark, odd.where("doc_id in (1, 9)"), "").collect()
+    assert rows and all(len(r["ids"]) == r["length"] for r in rows)
+
+
 def test_pipeline(spark):
     """Stages one by one: what each may drop or change, and the last against brute force."""
     folder = "/root/testdata/sf0.001"

@@ -211,7 +211,8 @@ def nearest_neighbours(
 
     true = indexed.mapInArrow(compare, "query long, score double, vec_id long, leaf long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
-    true = true.withColumn("rank", rank).where(F.col("rank") <= k + 1).select("query", "leaf").collect()
+    # The first is the query's own row, which the first leaf visited gives away.
+    true = true.withColumn("rank", rank).where(F.col("rank").between(2, k + 1)).select("query", "leaf").collect()
     place = {q: {leaf: at for at, leaf in enumerate(best_bins(v, tree.value))} for q, v in zip(*probe.value)}
     places = sorted(place[r["query"]][r["leaf"]] for r in true)
     visits = places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)] + 1 if places else 1

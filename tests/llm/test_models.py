@@ -149,6 +149,16 @@ def test_neighbours(spark):
     assert sorted(got[600])[0][1:] == (0.0, 0) and sorted(got[0])[0][1:] == (0.0, 600)
 
 
+def test_calibration_leaves_out_the_query_itself(spark):
+    # One neighbour each: with the query's own row counted, half the hits are free and one leaf is enough.
+    points = np.random.default_rng(5).normal(size=(1500, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "vec_id long, embedding array<float>")
+    got = {r["query_id"]: r["vec_id"] for r in neighbours.nearest_neighbours(frame, every=5, k=1, recall=0.5, leaf_rows=20).collect()}
+    apart = ((points[:, None, :].astype(float) - points[None, ::5]) ** 2).sum(axis=2)
+    apart[np.arange(0, 1500, 5), np.arange(300)] = np.inf
+    assert np.mean([got.get(5 * q) == i for q, i in enumerate(apart.argmin(axis=0))]) > 0.4
+
+
 def test_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [4.0, 6.0])], "vec_id long, embedding array<float>")
     rows = sorted(map(tuple, neighbours.nearest_neighbours(frame).collect()))

@@ -55,3 +55,10 @@ def discard(df: DataFrame) -> None:
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the unsigned CRC-32 of a short ASCII text."""
+    bit = "if(b & 1 = 1, xor(b >> 1, 3988292384), b >> 1)"
+    byte = f"list_reduce(range(8), lambda b, j: {bit}, xor(a, x))"
+    return f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda a, x: {byte}, 4294967295::BIGINT))"

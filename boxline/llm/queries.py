@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from boxline.llm import decontaminate, licences, neighbours, packing, quality, secrets, simhash, substrings, toxicity, warc
+from pyspark.sql import functions as F
+
+from boxline.llm import decontaminate, licences, merkle, mixing, neighbours, packing, quality, secrets, simhash, substrings, toxicity, trie, warc
 from boxline.llm.common import table
 
 
@@ -53,6 +55,19 @@ def op10_quality_classifier(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return trie.build(table(spark, sf_dir, "conversations"), heads=6, span=100)
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    without_breaks = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed={"text": without_breaks})
+
+
 QUERIES = {
     "op1_licence_scan": op1_licence_scan,
     "op2_warc": op2_warc,
@@ -64,6 +79,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE = {
@@ -71,4 +89,6 @@ ORACLE = {
     "op2_warc": warc.ORACLE,
     "op8_benchmark_decontamination": decontaminate.oracle(),
     "op9_secret_scan": secrets.oracle(),
+    "op12_prefix_trie": trie.oracle(),
+    "op13_merkle_manifest": merkle.oracle(),
 }

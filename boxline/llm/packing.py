@@ -13,15 +13,15 @@ before; no group of pieces is ever sorted or gathered.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import sys
 import zlib
-from array import array
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,86 +29,111 @@ from pyspark.sql import functions as F
 from boxline.llm.common import stored, text_of
 
 CAPACITY = 2048
-_RANK_BITS = 40
-_CACHED = 600_000  # words kept in a worker's lookup; later ones are encoded each time
-_RUN_OF_SPACE = re.compile(r"\s\s")
+_SLICE = 1 << 20  # characters of text that are encoded and handed on together
+_BROADCAST_ROWS = 200_000  # counts by length and part, up to which they are sent to every executor
+# Fixed value: how byte-level vocabularies of this kind part a text before merging.
+_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _bytes(ids: list[int]) -> bytes:
-    packed = array("I", ids)
-    if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+    return np.array(ids, "<u4").tobytes()
+
+
+def ranks_of(tokenizer: dict) -> dict[bytes, int] | None:
+    """Merge ranks by token bytes, where a tokenizer file is plain byte-level BPE whose ids ascend with its merges; else None."""
+    model, parts = tokenizer["model"], tokenizer["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not tokenizer["normalizer"] and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or parts.get("type") != "ByteLevel" or parts.get("add_prefix_space") or not parts.get("use_regex", True):
+        return None
+    # Bytes stand as printable characters; the others follow from 256 on.
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    added = {t["content"] for t in tokenizer["added_tokens"]}
+    vocab = {w: i for w, i in model["vocab"].items() if w not in added}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    order = [vocab.get(w, -1) for w in merged]
+    if order != sorted(set(order)) or set(vocab) != set(byte) | set(merged):
+        return None
+    return {bytes(byte[c] for c in w): i for w, i in vocab.items()}
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit values.
 
-    Byte-level BPE never joins what a single space parts, so words, each with
-    its leading space, are encoded once and looked up. Texts with runs of white
-    space or a special token's string are encoded whole.
+    The vocabulary is read by ``tokenizers``. Where it is plain byte-level BPE,
+    ``tiktoken`` applies the same merges in the same order, several times as fast;
+    other vocabularies, and texts that hold an added token's string, are left to
+    ``tokenizers``. No text or word is kept.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = ranks_of(json.loads(self.tokenizer.to_str()))
+        self.fast = ranks and tiktoken.Encoding(os.path.basename(path), pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if _RUN_OF_SPACE.search(text) or any(s in text for s in self.special):
-            return self._encode([text])[0]
-        chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-        found = list(map(self.words.get, chunks))
-        if None in found:
-            new = list({c for c, f in zip(chunks, found) if f is None})
-            encoded = dict(zip(new, self._encode(new)))
-            found = [encoded[c] if f is None else f for c, f in zip(chunks, found)]
-            if len(self.words) < _CACHED:
-                self.words.update(encoded)
-        return b"".join(found)
+        if self.fast and not any(a in text for a in self.added):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker, which keeps the words that earlier tasks looked up."""
+    """The encoder of this Python worker, set up once for all its tasks."""
     held = sys.modules.setdefault("boxline_llm_worker", ModuleType("boxline_llm_worker")).__dict__
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
 
 
+def _slices(column: pa.Array):
+    """Runs of rows of about ``_SLICE`` characters, at least one row each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + _SLICE, "right")))
+        yield first, last - first
+        first = last
+
+
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
     """Tokenised pieces: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``part``, ``rank`` and, if asked for, ``ids``.
 
     A document's ids are its tokens and ``end``. Only longer ones than
     ``capacity`` are cut; what doesn't fill a piece comes first. ``rank`` counts
     pieces of equal length within a partition ``part``. Null text counts as empty.
+    Texts are worked on and handed on a few at a time.
     """
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long" + ", ids array<int>" * with_ids
     names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
 
     def run(batches):
         encode, part, ranks = encoder(tokenizer), TaskContext.get().partitionId(), {}
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(content) + tail
-                total, start, piece = len(ids) // 4, 0, 0
-                while start < total:
-                    length = (total - start) % capacity or capacity
-                    blob = ids[4 * start : 4 * (start + length)]
-                    rank = ranks[length] = ranks.get(length, -1) + 1
-                    rows.append((doc_id, piece, start, length, zlib.crc32(blob), part, rank, *([np.frombuffer(blob, "<i4")] if with_ids else ())))
-                    start, piece = start + length, piece + 1
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *([pa.list_(pa.int32())] if with_ids else ())]
-            held = list(zip(*rows)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(held, kinds)], names)
+            for first, count in _slices(batch.column(1)):
+                rows, blobs = [], []
+                ids_of, texts = (batch.column(i).slice(first, count).to_pylist() for i in (0, 1))
+                for doc_id, content in zip(ids_of, texts):
+                    ids = encode(content) + tail
+                    total, start, piece = len(ids) // 4, 0, 0
+                    while start < total:
+                        length = (total - start) % capacity or capacity
+                        rank = ranks[length] = ranks.get(length, -1) + 1
+                        rows.append((doc_id, piece, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), part, rank))
+                        start, piece = start + length, piece + 1
+                    blobs.append(ids)
+                held = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
+                if with_ids:  # pieces are whole documents in order, so their ids are one flat array
+                    flat = b"".join(blobs)
+                    ends = np.cumsum([0, *(r[3] for r in rows)], dtype=np.int32)
+                    held.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])))
+                yield pa.RecordBatch.from_arrays(held, names)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text"))
     return slim.mapInArrow(run, columns)
@@ -230,33 +255,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return made
 
 
-def place(runs: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of pieces given by length and rank among that length."""
-    at = np.searchsorted((runs[:, 0] << _RANK_BITS) + runs[:, 1], (length << _RANK_BITS) + rank, "right") - 1
-    run = runs[at]
-    step = rank - run[:, 1]
-    return run[:, 3] + step // run[:, 4], run[:, 5] + step % run[:, 4] * length
+_RUNS = "length long, first long, count long, first_sequence long, each long, first_offset long"
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to stored pieces (``length``, ``part`` and ``rank`` are read and the last two dropped)."""
+    """Adds ``sequence_id`` and ``offset`` to stored pieces (``length``, ``part`` and ``rank`` are read and the last two dropped).
+
+    A piece's rank among its length is its rank within its part plus the counts
+    of the parts before, which reach the pieces by broadcast while they are few
+    and by a shuffle beyond. The runs of the plan come from at most ``capacity``
+    counts and stay few whatever the number of pieces.
+    """
+    spark = cut.sparkSession
     parts = stored(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    shared = cut.sparkSession.sparkContext.broadcast(plan(counts, capacity).table())
+    runs = spark.createDataFrame(plan(counts, capacity).table().tolist(), _RUNS)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select("length", "part", before.alias("before"))
-    ranked = cut.join(offsets, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
-    schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
-
-    def run(batches):
-        runs = shared.value
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            sequence, offset = place(runs, length, rank)
-            kept = [i for i, name in enumerate(batch.schema.names) if name != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(sequence), pa.array(offset)], [*(batch.schema.names[i] for i in kept), "sequence_id", "offset"])
-
-    return ranked.mapInArrow(run, schema)
+    offsets = F.broadcast(offsets) if parts.count() <= _BROADCAST_ROWS else offsets.hint("merge")
+    ranked = cut.join(offsets, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    inside = (ranked["length"] == runs["length"]) & (ranked["rank"] >= runs["first"]) & (ranked["rank"] < runs["first"] + runs["count"])
+    placed = ranked.join(F.broadcast(runs), inside).drop(runs["length"])
+    kept = [c for c in cut.columns if c not in ("part", "rank")]
+    return placed.select(*kept, F.expr("first_sequence + (rank - first) div each").alias("sequence_id"), F.expr("first_offset + (rank - first) % each * length").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

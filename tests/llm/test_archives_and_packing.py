@@ -1,6 +1,7 @@
 """WARC round trips, packing, and the pipeline."""
 
 import gzip
+import json
 import random
 import zlib
 from collections import Counter
@@ -9,6 +10,8 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -97,7 +100,9 @@ def check_plan(counts, capacity):
     made, filled = packing.plan(counts, capacity), {}
     table = made.table()
     for length, n in counts.items():
-        for s, o in zip(*(x.tolist() for x in packing.place(table, np.full(n, length), np.arange(n)))):
+        places = [(s + i // each, o + i % each * length) for x, first, count, s, each, o in sorted(table.tolist()) if x == length for i in range(count)]
+        assert len(places) == n
+        for s, o in places:
             filled.setdefault(s, []).append((o, length))
     for held in filled.values():
         at = 0
@@ -169,6 +174,35 @@ def test_encoder_agrees_with_the_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r'.,!0123aestllé\u3000\x1c\x85\xa0"), st.characters(exclude_categories=["Cs", "Cn"])), max_size=60))
+def test_any_text_gives_the_tokenizers_ids(text):
+    encode = packing.encoder(tokenizer_path())
+    assert encode.fast and np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_whole_documents_give_the_tokenizers_ids(spark):
+    encode = packing.encoder(tokenizer_path())
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        text = (row["text"] or "")[:20_000]
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_left_to_tokenizers():
+    held = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    assert len(packing.ranks_of(held)) == 50256
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**held["model"], "merges": held["model"]["merges"][1:]}}, {"model": {**held["model"], "dropout": 0.1}}):
+        assert packing.ranks_of({**held, **change}) is None
+
+
+def test_offsets_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_BROADCAST_ROWS", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(6)
+    rows = packing.pack_documents(docs, tokenizer_path(), with_ids=True).collect()
+    check_packing(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], 2048)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+
+
 def test_pipeline_keeps_the_tokens(spark, odd):
     rows = corpus_pipeline.STAGES[-1][1](spark, odd.where("doc_id in (1, 9)"), "").collect()
     assert rows and all(len(r["ids"]) == r["length"] for r in rows)

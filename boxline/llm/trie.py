@@ -85,7 +85,8 @@ def chained(turns: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, (_, k) in zip((*held, True), kinds)], [n for n, _ in kinds])
 
-    ordered = turns.select("conv_id", "at", "digest", "length").repartition("conv_id").sortWithinPartitions("conv_id", "at")
+    # Dealt by a hash of the id: Spark leaves out a repartition by the id itself where it finds one below, and may then read that one's blocks task by task.
+    ordered = turns.select("conv_id", "at", "digest", "length").repartition(F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "at")
     return ordered.mapInArrow(run, "conv_id long, depth long, key binary, parent_key binary, length long, last boolean")
 
 
@@ -114,7 +115,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
     block = F.floor(F.col("conv_id") / _BLOCK)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",")
     blocks = ends.groupBy("key", block.alias("block")).agg(joined.alias("ids"))
-    return blocks.repartition("key").sortWithinPartitions("key", "block").mapInArrow(run, "key binary, ends_sha256 string")
+    return blocks.repartition(F.xxhash64("key")).sortWithinPartitions("key", "block").mapInArrow(run, "key binary, ends_sha256 string")
 
 
 def build(conversations: DataFrame, heads: int = HEADS, span: int = SPAN) -> DataFrame:

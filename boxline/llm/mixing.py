@@ -124,16 +124,17 @@ def round_copies(cells: DataFrame, sources: DataFrame, most: int = MOST) -> Data
     current = stored(_before(rated, "share").withColumn("copies", copies).drop("before", "share", "lam", "mean", "target"), "copies")
     goals = sources.select("place", F.round("target").cast("long").alias("goal"))
     while True:
-        gaps = current.groupBy("place").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).join(goals, "place").select("place", (F.col("goal") - F.col("taken")).alias("gap")).where("gap <> 0")
+        gaps = current.groupBy("place").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).join(goals, "place").select("place", (F.col("goal") - F.col("taken")).alias("gap"))
+        gaps = stored(gaps.where("gap <> 0"), "gaps")  # one row a source: its size is known to the join below
         room = F.when(F.col("gap") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
         near = current.join(gaps, "place").withColumn("room", room).where((F.col("size") <= F.abs("gap")) & (F.col("room") > 0)).withColumn("words", F.col("size") * F.col("room"))
         times = F.greatest(F.lit(0).cast("long"), F.least(F.col("room"), F.expr("(abs(gap) - before) div size")))
         moved = stored(_before(near, "words").select("place", "size", "part", (F.signum("gap").cast("long") * times).alias("more")).where("more <> 0"), "moved")
         if moved.isEmpty():
             return current
-        after = stored(current.join(moved, ["place", "size", "part"], "left").withColumn("copies", F.col("copies") + F.coalesce(F.col("more"), F.lit(0))).drop("more"), "copies")
-        discard(current)
-        discard(moved)
+        after = stored(current.hint("merge").join(moved, ["place", "size", "part"], "left").withColumn("copies", F.col("copies") + F.coalesce(F.col("more"), F.lit(0))).drop("more"), "copies")
+        for old in (current, moved, gaps):
+            discard(old)
         current = after
 
 
@@ -155,7 +156,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     cells = stored(parted.where("size > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(aims.select("name", "place"), "name"), "cells")
     histogram = stored(cells.groupBy("place", "size").agg(F.sum("n").alias("n")), "histogram")
     tilts = solve(histogram, aims.where("source_size > 0"), most)
-    counted = round_copies(cells, tilts, most).select(*keys, "n", "copies", "rate")
+    # Cells grow with the documents, so they meet them in a shuffle, on the keys that the ranks are dealt by.
+    counted = round_copies(cells, tilts, most).select(*keys, "n", "copies", "rate").hint("merge")
     ranked = parted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("tie", "doc_id"))).join(counted, keys, "left")
     copies = F.coalesce(F.expr("copies div n") + (F.col("rank") <= F.col("copies") % F.col("n")).cast("long"), F.lit(0).cast("long"))
     return ranked.join(aims.select("name", "source_size", "target"), "name").select(

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+_FOLDERS: dict[str, str] = {}  # folders made for local sessions, by application
+
 _INFER = "spark.sql.constraintPropagation.enabled"
 
 
@@ -44,8 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="boxline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        folder = _FOLDERS.get(application) or _FOLDERS.setdefault(application, tempfile.mkdtemp(prefix="boxline-"))
     return folder.rstrip("/")
 
 

@@ -18,6 +18,8 @@ from boxline.sources.session import materialise, new_path
 MIN_ROWS = 10
 LOWER, UPPER = 0.10, 0.90
 FALLBACK_SPREAD, FALLBACK_MIN = 0.12, 500.0
+_KEY = ("match_id", "date", "sales_window")
+_PART_ROWS, _LEAST_PARTS = 50_000, 8
 
 
 @dataclass(frozen=True)
@@ -39,11 +41,18 @@ class Forecaster:
 
 
 def fit(training: DataFrame, settings: ForestSettings = ForestSettings()) -> Forecaster:
-    """Train on feature rows with ``final_sales``."""
+    """Train on feature rows with ``final_sales``.
+
+    The bags follow from the seed, a row's part and its place there. Parts are
+    therefore dealt by a hash of the row, as many as there are rows for, and put in order: neither the number
+    of cores nor the files that the rows come from changes a forecast.
+    """
     spark = training.sparkSession
     # Fitting passes over the rows many times.
-    training = materialise(training.select(*NUMERIC, *CATEGORICAL, "final_sales"), "training")
-    training = training.repartition(spark.sparkContext.defaultParallelism)
+    fields = list(dict.fromkeys((*(k for k in _KEY if k in training.columns), *NUMERIC, *CATEGORICAL, "final_sales")))
+    training = materialise(training.select(*fields), "training")
+    parts = max(_LEAST_PARTS, training.count() // _PART_ROWS)
+    training = training.repartition(parts, F.xxhash64(*fields)).sortWithinPartitions(*fields)
     median = exact_quantile(training, "final_sales", 0.5, name="v").first()
     fallback = float(median["v"]) if median and median["v"] is not None else 0.0
     if training.limit(MIN_ROWS).count() < MIN_ROWS:

@@ -148,7 +148,7 @@ RISKY = ("At risk", "Behind", "Watch")
 
 
 def risk_highlights(audience: DataFrame, ticket_class: DataFrame) -> DataFrame:
-    """Up to four headline groups of sufficient size, one row each."""
+    """Up to four headline groups, one row each: of sufficient size, or of any size where no group is sizeable."""
     from boxline.operators.index import status_rank
 
     fields = ("analysis_group", "status", "paid_ticket_gap", "ticket_index", "usual_purchase_window")
@@ -159,8 +159,10 @@ def risk_highlights(audience: DataFrame, ticket_class: DataFrame) -> DataFrame:
         found = []
         for position, name, test, order in wanted:
             # Rows that fail the test have no sort key and never come first.
-            key = F.when(test & F.col("meets_min_size"), F.struct(*[c.alias(f"_{i}") for i, c in enumerate((*order, F.col("analysis_group")))]))
-            found.append(F.struct(F.lit(position).alias("position"), F.lit(name).alias("highlight"), F.min_by(F.struct(*fields), key).alias("r")))
+            key = F.struct(*[c.alias(f"_{i}") for i, c in enumerate((*order, F.col("analysis_group")))])
+            sized, any_size = (F.min_by(F.struct(*fields), F.when(t, key)) for t in (test & F.col("meets_min_size"), test))
+            row = F.when(F.bool_or("meets_min_size"), sized).otherwise(any_size)
+            found.append(F.struct(F.lit(position).alias("position"), F.lit(name).alias("highlight"), row.alias("r")))
         rows = index.agg(F.array(*found).alias("found")).select(F.explode("found").alias("f")).select("f.position", "f.highlight", "f.r")
         return rows.filter("r is not null").select("position", "highlight", "r.*")
 

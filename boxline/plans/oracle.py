@@ -549,6 +549,19 @@ SELECT match_id, season_label, opponent, strftime(CAST(event_date AS TIMESTAMP),
   strftime(CAST(on_sale_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS on_sale_date FROM mt""",
     "mt",
 )
+entry(
+    "csv_quoted_breaks",
+    """
+SELECT doc_id, source, length(note) AS chars, md5(note) AS text_md5 FROM (
+  SELECT doc_id, source, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN replace(text, chr(13) || chr(10), chr(10)) END AS note FROM documents)""",
+)
+entry(
+    "processed_sets",
+    f"""
+SELECT season_label, count(*) AS rows, {r6('sum(paid_tickets_sold)')} AS paid, any_value(n) AS matches
+FROM tx LEFT JOIN (SELECT season_label, count(*) AS n FROM mt GROUP BY 1) USING (season_label) WHERE season_label <= '{PLAN}' GROUP BY 1""",
+    "tx", "mt",
+)
 entry(
     "processed_round_trip",
     f"SELECT season_label, count(*) AS rows, {r6('sum(paid_tickets_sold)')} AS paid, count(DISTINCT customer_id) AS buyers FROM tx GROUP BY 1",

@@ -469,7 +469,8 @@ SELECT match_id, competition || ' | M' || round || ' | v ' || opponent || ' | '
 FROM plan LEFT JOIN sv ON match_id = fixture_id WHERE sv.fixture_id IS NULL""",
     "plan", "sv",
 )
-entry("forest_invariants", "SELECT match_id, true AS in_interval, true AS not_negative FROM plan", "plan")
+entry("forest_invariants", "SELECT match_id, true AS expected_covers_sold, true AS lower_covers_sold, true AS upper_covers_expected, true AS upper_covers_lower FROM plan", "plan")
+entry("model_forecast_table", "SELECT fixture_id, fixture, competition, date, opponent, status, true AS covers_sold, true AS uplift_of_ten_percent FROM ft", "ft")
 entry("importance_invariants", "SELECT CAST(1 AS DOUBLE) AS total, true AS ranked, true AS not_negative FROM (SELECT count(*) AS n FROM plan) WHERE n > 0", "plan")
 entry(
     "target_drafts",
@@ -537,3 +538,43 @@ FROM (SELECT date_diff('day', max(CAST(transaction_date AS DATE)), DATE '2025-01
   UNION ALL SELECT date_diff('day', max(CAST(transaction_date AS DATE)), DATE '2024-11-20'), 'ahead' FROM tx)""",
     "sn", "tx",
 )
+
+# --- every planned match at once --------------------------------------------------------------------
+
+part(
+    "eqv",
+    f"""
+  SELECT match_id, equivalent_id, same_opponent, day_gap FROM (
+    SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY same_opponent DESC, day_gap, match_date, equivalent_id) AS place FROM (
+      SELECT p.match_id, f.fixture_id AS equivalent_id, f.match_date, coalesce(f.opponent, '') = coalesce(p.opponent, '') AS same_opponent, abs(dayofyear(f.match_date) - dayofyear(p.event_date)) AS day_gap
+      FROM plan p JOIN fx f ON f.competition = p.competition AND f.season_label = (SELECT max(season_label) FROM fx WHERE season_label <> '{PLAN}'))) WHERE place = 1""",
+    "plan", "fx",
+)
+entry("season_equivalents", "SELECT * FROM eqv", "eqv")
+entry(
+    "nearest_past_fixtures",
+    f"""
+SELECT match_id, fixture_id, day_gap FROM (
+  SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY day_gap, season_label, match_date, fixture_id) AS place FROM (
+    SELECT p.match_id, f.fixture_id, f.season_label, f.match_date, abs(dayofyear(f.match_date) - dayofyear(p.event_date)) AS day_gap
+    FROM plan p JOIN fx f ON f.competition = p.competition AND f.season_label <> '{PLAN}')) WHERE place = 1""",
+    "plan", "fx",
+)
+entry(
+    "last_season_curves",
+    f"""
+SELECT match_id, CAST({START} + CAST(o AS INTEGER) AS DATE) AS date, {r6("coalesce(v, 0)")} AS last_season_daily, {r6("sum(coalesce(v, 0)) OVER (PARTITION BY match_id ORDER BY o ROWS UNBOUNDED PRECEDING)")} AS last_season_cumulative
+FROM (SELECT match_id, unnest(range(0, n + 1)) AS o FROM (SELECT match_id, greatest(date_diff('day', {START}, CAST(event_date AS DATE)), 30) AS n FROM plan))
+LEFT JOIN (
+  SELECT match_id, least(greatest(date_diff('day', make_date(tx.season, 8, 1), CAST(transaction_date AS DATE)), 0), greatest(date_diff('day', {START}, CAST(plan.event_date AS DATE)), 30)) AS o, sum(tickets_sold) AS v
+  FROM plan JOIN eqv USING (match_id) JOIN tx ON tx.fixture_id = equivalent_id GROUP BY 1, 2) USING (match_id, o)""",
+    "plan", "eqv", "tx",
+)
+entry(
+    "forest_fallback",
+    f"""
+SELECT match_id, {r6("greatest(m, sold)")} AS expected, {r6("greatest(sold, greatest(m, sold) - greatest(greatest(m, sold) * 0.12, 500))")} AS lower, {r6("greatest(m, sold) + greatest(greatest(m, sold) * 0.12, 500)")} AS upper
+FROM (SELECT match_id, coalesce(max(cumulative_sales), 0) AS sold FROM plan LEFT JOIN dl USING (match_id) GROUP BY 1),
+  (SELECT median(final_sales) AS m FROM (SELECT final_sales FROM feat WHERE final_sales > 0 AND match_id IN (SELECT match_id FROM done) ORDER BY match_id, date, sales_window LIMIT 9))""",
+    "plan", "dl", "feat", "done",
+)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from boxline.functions import dates, keys, numbers, seasons, text, windows
 from boxline.operators import (
@@ -16,7 +17,7 @@ from boxline.operators.common import ranked
 from boxline.operators.filters import TicketFilter
 from boxline.plans import ingestion, outputs, pages
 from boxline.sources import star, tables
-from boxline.sources.csv import REJECTS
+from boxline.sources.csv import REJECTS, read_export
 from boxline.sources.mapping import suggest_mapping
 from boxline.sources.session import materialise, new_path
 
@@ -362,6 +363,35 @@ def union_competitions(spark, sf_dir):
     return both.groupBy("season_label", "competition", "sales_channel").agg(F.count(F.lit(1)).alias("rows"), F.sum("tickets_sold").alias("tickets"))
 
 
+@query
+def csv_quoted_breaks(spark, sf_dir):
+    """All documents written as one export with line breaks inside quotes, and read back by blocks."""
+    path = new_path(spark, "export-breaks")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("Customer ID"), F.col("source").alias("Order date"), F.col("text").alias("Note"))
+    rows.write.options(header=True, quoteAll=True, escape='"').csv(path)
+    note = F.col("note")
+    return read_export(spark, path).frame.select(F.col("customer_id").cast("long").alias("doc_id"), F.col("order_date").alias("source"), F.length(note).cast("long").alias("chars"), F.md5(note).alias("text_md5"))
+
+
+@query
+def processed_sets(spark, sf_dir):
+    """Three loads published one after another, and a fourth that breaks after two tables: the third is what readers see."""
+    m, folder = star.load(spark, sf_dir), new_path(spark, "processed-sets")
+    rejects = spark.createDataFrame([], f"kind string, {REJECTS}")
+    whole = dict(zip(tables.PROCESSED, (m.tickets, m.fixtures, m.customers, m.matches, m.daily, rejects)))
+    for season in ("2022/23", "2023/24", star.PLANNING_LABEL):
+        kept = {n: t.filter(F.col("season_label") <= season) if n in ("transactions_normalised", "matches") else t for n, t in whole.items()}
+        tables.write_processed(kept, folder)
+    try:
+        broken = whole["customers_normalised"].withColumn("customer_id", F.raise_error(F.lit("interrupted")).cast("string"))
+        tables.write_processed({**whole, "transactions_normalised": whole["transactions_normalised"].limit(0), "customers_normalised": broken}, folder)
+    except PySparkException:
+        pass
+    seen = tables.load_processed(spark, folder)
+    tickets = seen["transactions_normalised"].groupBy("season_label").agg(F.count(F.lit(1)).alias("rows"), F.sum("paid_tickets_sold").alias("paid"))
+    return tickets.join(seen["matches"].groupBy("season_label").agg(F.count(F.lit(1)).alias("matches")), "season_label", "left")
+
+
 # --- stored tables ----------------------------------------------------------------------------------
 
 
@@ -709,6 +739,13 @@ def risk_highlights(spark, sf_dir):
     return recommend.risk_highlights(index_of(spark, sf_dir, "segment"), index_of(spark, sf_dir, "ticket_class"))
 
 
+@query
+def risk_highlights_small_scope(spark, sf_dir):
+    """Headline groups where none is sizeable."""
+    small = lambda kind: index_of(spark, sf_dir, kind).withColumn("meets_min_size", F.lit(False))
+    return recommend.risk_highlights(small("segment"), small("ticket_class"))
+
+
 @query
 def recommended_audiences(spark, sf_dir):
     m = star.load(spark, sf_dir)
@@ -793,6 +830,26 @@ def last_season_equivalent(spark, sf_dir):
     return curves.last_season_equivalent(fx, latest, "BBL", "NATION_12", "2024-12-20")
 
 
+@query
+def season_equivalents(spark, sf_dir):
+    """All planned matches and the fixtures of last season that stand for them."""
+    m = star.load(spark, sf_dir)
+    return curves.season_equivalents(m.planned, m.fixtures, filters.latest_season(m.fixtures, star.PLANNING_LABEL))
+
+
+@query
+def nearest_past_fixtures(spark, sf_dir):
+    m = star.load(spark, sf_dir)
+    return curves.nearest_past_fixtures(m.planned, m.fixtures, star.PLANNING_LABEL)
+
+
+@query
+def last_season_curves(spark, sf_dir):
+    """Last season's sales beside every planned match, on its chart."""
+    m = star.load(spark, sf_dir)
+    return curves.equivalent_curves(m.tickets, m.planned, season_equivalents(spark, sf_dir), filters.PAID_AND_COMPS, SEASON_START)
+
+
 @query
 def target_curve(spark, sf_dir):
     m = star.load(spark, sf_dir)
@@ -888,11 +945,23 @@ def latest_snapshots(spark, sf_dir):
     return rows.select("match_id", "date", "days_to_event", "days_on_sale", "cumulative_sales", "trailing_7_day_sales", "sales_window", "is_weekend_event")
 
 
+_MODELS: dict[tuple[str, str], forest.Forecaster] = {}
+
+
+def fitted_model(spark, sf_dir) -> forest.Forecaster:
+    """The forest of these tables, grown once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        m = star.load(spark, sf_dir)
+        _MODELS[key] = outputs.fitted(m.matches, m.daily)
+    return _MODELS[key]
+
+
 @query
 def forest_forecast(spark, sf_dir):
     """Rows only: forests of two libraries differ."""
     m = star.load(spark, sf_dir)
-    return outputs.forest_forecasts(m.planned, m.matches, m.daily, outputs.fitted(m.matches, m.daily))
+    return outputs.forest_forecasts(m.planned, m.matches, m.daily, fitted_model(spark, sf_dir))
 
 
 @query
@@ -900,17 +969,34 @@ def feature_importance(spark, sf_dir):
     """Rows only."""
     m = star.load(spark, sf_dir)
     rows = features.training_rows(m.matches, m.daily)
-    return forest.feature_importance(forest.fit(rows), rows)
+    return forest.feature_importance(fitted_model(spark, sf_dir), rows)
 
 
 @query
 def forest_invariants(spark, sf_dir):
     """What holds of every forecast, whatever library grew the forest."""
-    rows = forest_forecast(spark, sf_dir)
-    holds = {"in_interval": F.col("expected").between(F.col("lower"), F.col("upper")), "not_negative": F.col("lower") >= 0}
+    m = star.load(spark, sf_dir)
+    rows = forest_forecast(spark, sf_dir).join(sold_so_far(m), "match_id", "left")
+    sold = F.coalesce("sold", F.lit(0.0))
+    holds = {
+        "expected_covers_sold": F.col("expected") >= sold, "lower_covers_sold": F.col("lower") >= sold,
+        "upper_covers_expected": F.col("upper") >= F.col("expected"), "upper_covers_lower": F.col("upper") >= F.col("lower"),
+    }
     return rows.select("match_id", *[test.alias(name) for name, test in holds.items()])
 
 
+def sold_so_far(m) -> DataFrame:
+    return m.daily.groupBy("match_id").agg(F.max("cumulative_sales").alias("sold"))
+
+
+@query
+def forest_fallback(spark, sf_dir):
+    """Forecasts from fewer than ten training rows: the median of their finals."""
+    m = star.load(spark, sf_dir)
+    rows = ranked(features.training_rows(m.matches, m.daily), "match_id", "date", F.col("sales_window"), limit=forest.MIN_ROWS - 1)
+    return outputs.forest_forecasts(m.planned, m.matches, m.daily, forest.fit(rows.drop("rank")))
+
+
 @query
 def importance_invariants(spark, sf_dir):
     """Importances add up to one and are ranked without gaps."""
@@ -926,6 +1012,19 @@ def fixture_forecast_table(spark, sf_dir):
     return outputs.forecast_table(labelled, typical_forecasts(m))
 
 
+@query
+def model_forecast_table(spark, sf_dir):
+    """The forecast table of all planned fixtures fed by the fitted forest; its numbers by what they must hold."""
+    m = star.load(spark, sf_dir)
+    labelled = m.planned.join(m.fixtures.select(F.col("fixture_id").alias("match_id"), "fixture_label"), "match_id")
+    rows = outputs.forecast_table(labelled, forest_forecast(spark, sf_dir)).join(sold_so_far(m).withColumnRenamed("match_id", "fixture_id"), "fixture_id", "left")
+    up = F.col("forecast_10pct_uplift") - F.col("forecasted_sales") * 1.1
+    return rows.select(
+        "fixture_id", "fixture", "competition", "date", "opponent", "status",
+        (F.col("forecasted_sales") >= F.floor(F.coalesce("sold", F.lit(0.0)))).alias("covers_sold"), (F.abs(up) <= 1.05).alias("uplift_of_ten_percent"),
+    )
+
+
 # --- planning ---------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxline.operators.plan_targets import SAVED_SCHEMA, latest_saved
+from boxline.sources.publish import current, publish
 
 MATCH_DATES = (
     "event_date", "on_sale_date", "early_bird_start", "early_bird_end", "member_presale_start", "member_presale_end",
@@ -24,6 +25,7 @@ PROCESSED = {
 
 def read_table(spark: SparkSession, folder: str, name: str, prefer_parquet: bool = True) -> DataFrame:
     """A table stored as parquet or as CSV with a header."""
+    folder = current(spark, folder)
     parquet, csv = f"{folder}/{name}.parquet", f"{folder}/{name}.csv"
     readers = [lambda: spark.read.parquet(parquet), lambda: spark.read.option("header", True).csv(csv)]
     if not prefer_parquet:
@@ -53,16 +55,14 @@ def load_daily_sales(spark: SparkSession, folder: str, prefer_parquet: bool = Tr
 
 
 def write_processed(tables: dict[str, DataFrame], folder: str) -> None:
-    """Replace the processed tables; tickets are laid out by season."""
-    for name, layout in PROCESSED.items():
-        # AQE splits and joins the parts of a season to its advisory size, so files are neither tiny nor huge.
-        rows = tables[name].hint("rebalance", *layout) if layout else tables[name]
-        rows.write.mode("overwrite").partitionBy(*layout).parquet(f"{folder}/{name}.parquet")
+    """Replace the processed tables, all of them at once; tickets are laid out by season."""
+    publish({name: tables[name] for name in PROCESSED}, folder, PROCESSED)
 
 
 def load_processed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Processed tables plus the planning fixtures among them."""
-    tables = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in PROCESSED}
+    """The newest complete set of processed tables plus the planning fixtures among them."""
+    version = current(spark, folder)
+    tables = {name: spark.read.parquet(f"{version}/{name}.parquet") for name in PROCESSED}
     fixtures = tables["fixtures_normalised"]
     return tables | {"future_fixtures": fixtures.filter(F.col("fixture_status") == "assumed")}
 

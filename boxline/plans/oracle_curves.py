@@ -574,7 +574,7 @@ entry(
     "forest_fallback",
     f"""
 SELECT match_id, {r6("greatest(m, sold)")} AS expected, {r6("greatest(sold, greatest(m, sold) - greatest(greatest(m, sold) * 0.12, 500))")} AS lower, {r6("greatest(m, sold) + greatest(greatest(m, sold) * 0.12, 500)")} AS upper
-FROM (SELECT match_id, coalesce(max(cumulative_sales), 0) AS sold FROM plan LEFT JOIN dl USING (match_id) GROUP BY 1),
+FROM (SELECT match_id, coalesce(cumulative_sales, 0) AS sold FROM plan LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY date DESC, coalesce(sales_window, '') DESC) AS place FROM dl) d USING (match_id) WHERE coalesce(place, 1) = 1),
   (SELECT median(final_sales) AS m FROM (SELECT final_sales FROM feat WHERE final_sales > 0 AND match_id IN (SELECT match_id FROM done) ORDER BY match_id, date, sales_window LIMIT 9))""",
     "plan", "dl", "feat", "done",
 )

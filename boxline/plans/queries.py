@@ -986,7 +986,8 @@ def forest_invariants(spark, sf_dir):
 
 
 def sold_so_far(m) -> DataFrame:
-    return m.daily.groupBy("match_id").agg(F.max("cumulative_sales").alias("sold"))
+    """What the model takes as sold: the newest daily row of each planned match."""
+    return features.latest_snapshots(m.planned, m.matches, m.daily).select("match_id", F.col("cumulative_sales").alias("sold"))
 
 
 @query

@@ -19,6 +19,10 @@ KEEP = 3  # published sets that stay for readers who are still at work
 ORPHAN_HOURS = 24  # a version without a manifest is given up after so long
 
 
+class Conflict(RuntimeError):
+    """Another job published while this one built on the set before."""
+
+
 def _path(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -40,11 +44,13 @@ def current(spark: SparkSession, folder: str) -> str:
     return f"{folder}/versions/{names[-1]}" if names else folder
 
 
-def publish(tables: Mapping[str, DataFrame], folder: str, layouts: Mapping[str, Sequence[str]] = {}, keep: int = KEEP) -> str:
+def publish(tables: Mapping[str, DataFrame], folder: str, layouts: Mapping[str, Sequence[str]] = {}, keep: int = KEEP, after: str | None = None) -> str:
     """Write tables as one new version and make it the current one; returns its folder.
 
     ``layouts`` names the columns a table is partitioned by. Of two jobs that
-    publish at a time, the one that started last is current.
+    publish at a time, the one that started last is current. Tables that were
+    made from the set in folder ``after`` are published only while that is still
+    the current one; else ``Conflict`` is raised and nothing is left behind.
     """
     spark = next(iter(tables.values())).sparkSession
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
@@ -54,6 +60,10 @@ def publish(tables: Mapping[str, DataFrame], folder: str, layouts: Mapping[str,
         # AQE splits and joins the parts of a value to its advisory size, so files are neither tiny nor huge.
         rows = rows.hint("rebalance", *layout) if layout else rows
         rows.write.partitionBy(*layout).parquet(f"{target}/{name}.parquet")
+    if after is not None and current(spark, folder) != after:
+        place, files = _path(spark, target)
+        files.delete(place, True)
+        raise Conflict(f"{after} is no longer the newest set")
     draft, files = _path(spark, f"{folder}/manifests/.{version}")
     out = files.create(draft)
     out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxline.operators.plan_targets import SAVED_SCHEMA, latest_saved
-from boxline.sources.publish import current, publish
+from boxline.sources.publish import Conflict, current, publish
 
 MATCH_DATES = (
     "event_date", "on_sale_date", "early_bird_start", "early_bird_end", "member_presale_start", "member_presale_end",
@@ -72,16 +72,34 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_targets(rows: DataFrame, path: str) -> None:
-    """Add saved targets; the newest row of a fixture counts."""
-    rows.select("fixture_id", "base_target", "stretch_target", "saved_at").write.mode("append").parquet(path)
+_SAVED = ("fixture_id", "base_target", "stretch_target", "saved_at")
+
+
+def save_targets(rows: DataFrame, path: str, tries: int = 5) -> None:
+    """Merge saved targets into the stored ones; the newest row of a fixture counts.
+
+    Each save publishes a new base of one row per fixture in few files and
+    removes old ones, so neither files nor reading time grow with the number of
+    saves. A save that another one overtook is merged anew with what that left.
+    """
+    spark = rows.sparkSession
+    for left in reversed(range(tries)):
+        base = current(spark, path)
+        kept = load_targets(spark, path).select(*_SAVED).unionByName(rows.select(*_SAVED))
+        try:
+            publish({"targets": latest_saved(kept).select(*_SAVED).hint("rebalance")}, path, after=base)
+            return
+        except Conflict:
+            if not left:
+                raise
 
 
 def load_targets(spark: SparkSession, path: str) -> DataFrame:
     """Newest saved target per fixture; nothing when there is no usable table."""
     empty = spark.createDataFrame([], SAVED_SCHEMA)
+    base = current(spark, path)
     try:
-        rows = spark.read.parquet(path)
+        rows = spark.read.parquet(path if base == path else f"{base}/targets.parquet")
     except AnalysisException:
         return latest_saved(empty)
     if not {"fixture_id", "base_target", "stretch_target"} <= set(rows.columns):

@@ -44,6 +44,23 @@ def test_tables_of_a_folder_without_manifests(spark, tmp_path):
     assert tables.load_matches(spark, str(tmp_path)).count() == 3
 
 
+def test_saves_fold_into_one_base(spark, tmp_path):
+    """Many saves leave few files; a save that was overtaken loses nothing."""
+    path = str(tmp_path / "targets")
+    row = lambda fixture, base, day: spark.sql(f"select '{fixture}' fixture_id, {base}d base_target, 12d stretch_target, timestamp_ntz'2024-01-01 00:00:00' + interval {day} day saved_at")
+    for n in range(12):
+        tables.save_targets(row(f"f{n % 3}", n, n), path)
+    tables.save_targets(row("f0", 99, -5), path)  # an older row does not count
+    stored = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert len(stored) <= 3 * publish.KEEP
+    assert sorted((r.fixture_id, r.base_target) for r in tables.load_targets(spark, path).collect()) == [("f0", 9.0), ("f1", 10.0), ("f2", 11.0)]
+    before = publish.current(spark, path)
+    tables.save_targets(row("f3", 1, 50), path)
+    with pytest.raises(publish.Conflict):
+        publish.publish({"targets": row("f9", 1, 1)}, path, after=before)
+    assert {r.fixture_id for r in tables.load_targets(spark, path).collect()} == {"f0", "f1", "f2", "f3"}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_nearest_row(spark, seed):
     r = random.Random(seed)

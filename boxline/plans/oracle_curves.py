@@ -578,3 +578,14 @@ FROM (SELECT match_id, coalesce(cumulative_sales, 0) AS sold FROM plan LEFT JOIN
   (SELECT median(final_sales) AS m FROM (SELECT final_sales FROM feat WHERE final_sales > 0 AND match_id IN (SELECT match_id FROM done) ORDER BY match_id, date, sales_window LIMIT 9))""",
     "plan", "dl", "feat", "done",
 )
+entry(
+    "target_breakdown_chart",
+    f"""
+WITH tot AS (SELECT sum(sb) AS b, sum(ss) AS s FROM plan JOIN sv ON match_id = fixture_id WHERE venue = 'AMERICA Arena'),
+l AS (SELECT o, sum(paid_tickets_sold) AS v FROM hist WHERE {_FAMILY} AND season_label = (SELECT max(season_label) FROM fx WHERE season_label <> '{PLAN}') GROUP BY 1)
+SELECT date, {", ".join(f"{r6(f'share * final * {k}')} AS {n}_daily, {r6(f'sum(share * final * {k}) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING)')} AS {n}_cumulative"
+    for n, k in (("forecast_expected", "1"), ("forecast_plus_10", "1.1"), ("base", "(b * pct / 100 / final)"), ("stretch", "(s * pct / 100 / final)")))},
+  {r6("coalesce(v, 0)")} AS last_season_daily, {r6("sum(coalesce(v, 0)) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING)")} AS last_season_cumulative
+FROM pj CROSS JOIN tot LEFT JOIN l USING (o)""",
+    "pj", "plan", "sv", "hist", "fx",
+)

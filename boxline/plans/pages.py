@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, functions as F
 
 from boxline.operators.common import ranked
-from boxline.operators import curves, index as ix, plan_targets, projection, quality, recommend, summaries
+from boxline.operators import curves, filters, index as ix, plan_targets, projection, quality, recommend, summaries
 from boxline.operators.filters import TicketFilter, filter_tickets, scoped
 
 AUDIENCE_DIMENSIONS = ("ticket_class", "price_type", "sales_channel")
@@ -61,12 +61,20 @@ def single_fixture(outputs, tickets: DataFrame, match_id: str) -> Page:
     }
 
 
+def last_season(tickets, matches, f: TicketFilter, start, event_date) -> DataFrame:
+    """Sales of a selection in the latest season before the planned one, on the planning calendar."""
+    past = tickets.filter(F.col("season_label") == filters.latest_season(matches, f.season_label))
+    chosen = filters.filter_tickets(past, replace(f, season_label=filters.ALL, as_at=None))
+    return curves.aligned_history(chosen, f.ticket_status, curves.chart_length(start, event_date), start, blend=False, name="last_season")
+
+
 def target_breakdown(tickets, matches, f: TicketFilter, baseline: Sequence[str], start, event_date, as_at, saved: DataFrame, total: float) -> Page:
     history = tickets.filter(F.col("season_label").isin(list(baseline)))
     planned = scoped(matches, f.season_label, f.competition)
     curve = projection.segment_projection(tickets, history, f, start, event_date, total, as_at, f.season_label, competition=f.competition)
     return {
         "curve": curve,
+        "chart": curves.breakdown_chart(curve, plan_targets.target_totals(planned, saved), last_season(tickets, matches, f, start, event_date)),
         "summary": projection.projection_summary(curve, history, f, as_at),
         "target_totals": plan_targets.target_totals(planned, saved),
         "missing": plan_targets.missing_labels(planned, saved),

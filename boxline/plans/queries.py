@@ -928,6 +928,18 @@ def target_breakdown(spark, sf_dir):
     return curves.scaled_targets(curve, final, pct, {"base": 60000.0, "stretch": 75000.0})
 
 
+@query
+def target_breakdown_chart(spark, sf_dir):
+    """Saved base and stretch targets of one arena's fixtures and last season's sales beside the projection."""
+    m = star.load(spark, sf_dir)
+    f = replace(FAMILY, season_label=star.PLANNING_LABEL, competition="BBL")
+    curve = projection.segment_projection(
+        m.tickets, history(m), FAMILY, SEASON_START, EVENT_DATE, 50000.0, star.AS_AT, star.PLANNING_LABEL, competition="BBL", actuals=False
+    )
+    totals = plan_targets.target_totals(m.planned.filter("venue = 'AMERICA Arena'"), saved(spark, sf_dir))
+    return curves.breakdown_chart(curve, totals, pages.last_season(m.tickets, m.fixtures, f, SEASON_START, EVENT_DATE))
+
+
 # --- model ------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+# Bucket column of tickets that are laid out by customer: see ``sources/facts.py``.
+CUSTOMER_KEY = "customer_key"
+
+
 def has(df: DataFrame, *names: str) -> bool:
     return all(name in df.columns for name in names)
 
@@ -48,7 +52,11 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Iterable[s
 
     A lookup below Spark's broadcast limit needs no shuffle. Above it the join
     sorts both sides, nulls are spread, and AQE splits partitions of hot keys.
+    Tickets in customer buckets are joined where they are.
     """
+    if key == "customer_id" and has(rows, CUSTOMER_KEY):
+        own = lookup.filter(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("string")).withColumnRenamed(key, CUSTOMER_KEY)
+        return rows.join(own, CUSTOMER_KEY, "left").select(*rows.columns, *[c for c in lookup.columns if c != key])
     spread = list(spread) or [c for c in ("transaction_id", "order_id") if c in rows.columns]
     keyed = rows.withColumn("_key", spread_null_key(key, *spread) if spread else F.col(key).cast("string"))
     right = lookup.filter(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("string")).withColumnRenamed(key, "_key")

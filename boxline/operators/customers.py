@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from boxline.functions import keys, text
 from boxline.functions.dates import month_name
-from boxline.operators.common import column_or, first_per_key, has, left_lookup
+from boxline.operators.common import CUSTOMER_KEY, column_or, first_per_key, has, left_lookup
 
 
 def first_season(tickets: DataFrame) -> DataFrame:
     """Season of the first purchase, one row per customer."""
     dated = tickets.filter("customer_id is not null and transaction_date is not null and season_label is not null")
     first = F.min_by("season_label", F.struct("transaction_date", "season_label"))
-    return dated.groupBy("customer_id").agg(first.alias("first_season"))
+    return _by_customer(dated).agg(first.alias("first_season")).withColumnRenamed(CUSTOMER_KEY, "customer_id")
+
+
+def _by_customer(rows: DataFrame):
+    """Groups of rows that have a customer, by the bucket column where tickets are laid out by it."""
+    return rows.groupBy(CUSTOMER_KEY if has(rows, CUSTOMER_KEY) else "customer_id")
 
 
 def purchase_status(tickets: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def lifetime(tickets: DataFrame, salt: str) -> DataFrame:
         }
     )
     modes = [F.mode(F.col(source), True).alias(name) for name, source in _MODES.items() if source in rows.columns]
-    grouped = rows.groupBy("customer_id").agg(
+    grouped = _by_customer(rows).agg(
         F.min("transaction_date").alias("first_purchase_date"),
         F.max("transaction_date").alias("last_purchase_date"),
         F.count_distinct("season_label").alias("seasons_purchased_count"),
@@ -61,7 +66,7 @@ def lifetime(tickets: DataFrame, salt: str) -> DataFrame:
         F.max("purchaser_family_flag").alias("family_flag"),
         F.max("marketing_opt_in").alias("marketing_opt_in"),
         *modes,
-    )
+    ).withColumnRenamed(CUSTOMER_KEY, "customer_id")
     return grouped.withColumns(
         {"anonymised_customer_id": keys.anonymise("customer_id", salt), "has_ticket_history": F.lit(True)}
     )

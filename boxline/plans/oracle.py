@@ -730,3 +730,6 @@ UNION ALL SELECT * FROM (SELECT 3, 'Biggest visible audience contributor is ' ||
   FROM (SELECT coalesce(ticket_class, 'Unknown') AS c, sum(paid_tickets_sold) AS paid, sum(sum(paid_tickets_sold)) OVER () AS all_paid FROM now_tx GROUP BY 1) ORDER BY paid DESC, c LIMIT 1)""",
     "kpi", "fxs", "now_tx",
 )
+
+for _bucketed in ("customer_lifetime", "purchase_status"):
+    ORACLE[f"{_bucketed}_bucketed"] = ORACLE[_bucketed]

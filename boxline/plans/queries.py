@@ -16,7 +16,7 @@ from boxline.operators import (
 from boxline.operators.common import ranked
 from boxline.operators.filters import TicketFilter
 from boxline.plans import ingestion, outputs, pages
-from boxline.sources import star, tables
+from boxline.sources import facts, star, tables
 from boxline.sources.csv import REJECTS, read_export
 from boxline.sources.mapping import suggest_mapping
 from boxline.sources.session import materialise, new_path
@@ -591,6 +591,28 @@ def quantile_whole_table(spark, sf_dir):
     return segments.exact_quantile(star.load(spark, sf_dir).tickets, "gross_revenue", 0.75, name="upper_quartile")
 
 
+def bucketed(spark, sf_dir) -> DataFrame:
+    """All tickets laid out by customer inside each season, and read back."""
+    path = new_path(spark, "facts")
+    facts.write_facts(star.load(spark, sf_dir).tickets, path, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return facts.read_facts(spark, path)
+
+
+@query
+def customer_lifetime_bucketed(spark, sf_dir):
+    """Lifetime aggregates without moving a ticket."""
+    return cust.lifetime(bucketed(spark, sf_dir), star.SALT)
+
+
+@query
+def purchase_status_bucketed(spark, sf_dir):
+    """New and returning buyers without moving a ticket by customer."""
+    tx = bucketed(spark, sf_dir).drop("customer_purchase_status")
+    return cust.purchase_status(tx).groupBy("season_label", "customer_purchase_status").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("customer_id").alias("customers"), F.sum("tickets_sold").alias("tickets")
+    )
+
+
 @query
 def purchase_status(spark, sf_dir):
     tx = star.load(spark, sf_dir).tickets.drop("customer_purchase_status")

@@ -11,7 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from boxline.operators import asof
-from boxline.sources import publish, tables
+from boxline.operators import customers as cust
+from boxline.sources import facts, publish, tables
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -61,6 +62,36 @@ def test_saves_fold_into_one_base(spark, tmp_path):
     assert {r.fixture_id for r in tables.load_targets(spark, path).collect()} == {"f0", "f1", "f2", "f3"}
 
 
+def test_customer_buckets_move_no_ticket(spark, tmp_path):
+    plain = spark.range(4000).select(
+        F.concat(F.lit("t"), F.col("id")).alias("transaction_id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("c"), F.abs(F.xxhash64("id")) % 300)).alias("customer_id"),
+        F.concat(F.lit("202"), F.col("id") % 3, F.lit("/2"), F.col("id") % 3 + 1).alias("season_label"), F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 9000).cast("timestamp_ntz").alias("transaction_date"),
+        F.lit("general").alias("sales_window"), F.lit(1.0).alias("tickets_sold"), (F.col("id") % 90).cast("double").alias("gross_revenue"), (F.col("id") % 2 == 0).alias("purchaser_family_flag"), F.lit(True).alias("marketing_opt_in"),
+    )
+    facts.write_facts(plain, str(tmp_path / "facts"), 8)
+    laid = facts.read_facts(spark, str(tmp_path / "facts"))
+    files = [f for _, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 8 * 3
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lived = cust.lifetime(plain, "salt")
+        for made, wanted in (
+            (cust.purchase_status(laid), cust.purchase_status(plain)), (cust.lifetime(laid, "salt"), lived),
+            (cust.add_behaviour(laid, lived.withColumn("customer_id", F.upper("customer_id"))), cust.add_behaviour(plain, lived.withColumn("customer_id", F.upper("customer_id")))),
+        ):
+            lines = made._jdf.queryExecution().executedPlan().toString().split("\n")
+            join = next((i for i, line in enumerate(lines) if "SortMergeJoin" in line), 0)
+            scan = next(i for i, line in enumerate(lines) if i >= join and "FileScan" in line)
+            assert "Bucketed: true" in lines[scan] and not any("Exchange" in line for line in lines[join:scan])
+            rows = made.select(*wanted.columns)
+            assert rows.exceptAll(wanted).count() == 0 and rows.count() == wanted.count()
+        assert "Exchange" not in cust.lifetime(laid, "salt")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in cust.purchase_status(laid)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_nearest_row(spark, seed):
     r = random.Random(seed)

@@ -34,7 +34,7 @@ UNIT = 1_000_000  # rates are counted in these parts
 CLOSE = 1e-9  # a constraint is met within this share of its target
 SPREAD = 64  # parts, at least, over which documents of equal source and size are spread
 PART_ROWS = 100_000
-_BAND = 16  # sizes whose parts one window task adds up
+_BAND = 4  # sizes whose parts one window task adds up
 
 
 def sizes(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:

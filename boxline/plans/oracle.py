@@ -733,3 +733,29 @@ UNION ALL SELECT * FROM (SELECT 3, 'Biggest visible audience contributor is ' ||
 
 for _bucketed in ("customer_lifetime", "purchase_status"):
     ORACLE[f"{_bucketed}_bucketed"] = ORACLE[_bucketed]
+
+
+def crc_hex(text: str) -> str:
+    """CRC-32 of an ASCII text as eight hex digits, bit by bit."""
+    bit = "if(b & 1 = 1, xor(b >> 1, 3988292384), b >> 1)"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    crc = f"xor(4294967295, list_reduce({codes}, lambda a, x: list_reduce(range(8), lambda b, j: {bit}, xor(a, x)), 4294967295::BIGINT))"
+    return f"printf('%08x', {crc})"
+
+
+entry("row_ids", f"SELECT c_custkey, 'txn_' || {crc_hex("concat_ws('|', c_name, c_mktsegment)")} || '_' || c_custkey AS row_id FROM customer")
+entry(
+    "fixture_checksums",
+    f"""
+SELECT fixture_id, id_text, {crc_hex("id_text")} AS checksum
+FROM (SELECT fixture_id, competition || '|' || season_label || '|' || strftime(match_date, '%Y-%m-%d') || '|' || opponent || '|' || venue AS id_text FROM fx)""",
+    "fx",
+)
+entry(
+    "uploaded_future_fixtures",
+    """
+SELECT season, season_label, competition, opponent, venue, match_date, 'assumed' AS fixture_status, false AS is_confirmed, true AS is_assumed,
+  competition || ' v ' || opponent || ' | ' || strftime(match_date, '%d %b %Y') || ' | TBD / assumed' AS fixture_label, 'Uploaded next-season fixture assumption.' AS notes FROM fx""",
+    "fx",
+)
+entry("csv_trial_rows", "SELECT row_number() OVER (ORDER BY c_custkey) AS source_row_number, CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS account_name FROM customer QUALIFY source_row_number <= 100")

@@ -170,6 +170,33 @@ def fixture_keys(spark, sf_dir):
     )
 
 
+@query
+def row_ids(spark, sf_dir):
+    """Ids of rows without one: the checksum of their text, and their number."""
+    c = star.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", keys.row_id("txn", "c_custkey", "c_name", "c_mktsegment").alias("row_id"))
+
+
+@query
+def fixture_checksums(spark, sf_dir):
+    """Generated fixture ids by the text that their checksum is taken of."""
+    fields = ("competition", "season_label", "match_date", "opponent", "venue")
+    fx = star.load(spark, sf_dir).fixtures
+    return fx.select("fixture_id", keys.fixture_key_text(*fields).alias("id_text"), F.substring_index(keys.fixture_id(*fields), "_", -1).alias("checksum"))
+
+
+@query
+def uploaded_future_fixtures(spark, sf_dir):
+    """A list of fixtures uploaded as next season's: all of them assumed."""
+    fx = star.load(spark, sf_dir).fixtures
+    raw = fx.select("season_label", "venue", "opponent", "competition", F.date_format("match_date", "d/M/yyyy").alias("match_date"))
+    rows = ingest.normalise_fixtures(raw, suggest_mapping(raw.columns, "future_fixtures"), "BBL", SETTINGS, assumed=True)
+    return rows.select(
+        "season", "season_label", "competition", "opponent", "venue", F.col("match_date").cast("date").alias("match_date"),
+        "fixture_status", "is_confirmed", "is_assumed", "fixture_label", "notes",
+    )
+
+
 @query
 def age_bands(spark, sf_dir):
     c = star.table(spark, sf_dir, "customer")
@@ -373,6 +400,15 @@ def csv_quoted_breaks(spark, sf_dir):
     return read_export(spark, path).frame.select(F.col("customer_id").cast("long").alias("doc_id"), F.col("order_date").alias("source"), F.length(note).cast("long").alias("chars"), F.md5(note).alias("text_md5"))
 
 
+@query
+def csv_trial_rows(spark, sf_dir):
+    """The first hundred rows of an export, for a trial run of a load."""
+    path = new_path(spark, "export-trial")
+    rows = star.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("Customer ID"), F.col("c_name").alias("Account name"), F.col("c_mktsegment").alias("Order date"))
+    rows.repartition(1).sortWithinPartitions("Customer ID").write.option("header", True).csv(path)
+    return read_export(spark, path, rows=100).frame.select("source_row_number", "customer_id", "account_name")
+
+
 @query
 def processed_sets(spark, sf_dir):
     """Three loads published one after another, and a fourth that breaks after two tables: the third is what readers see."""

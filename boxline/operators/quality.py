@@ -18,40 +18,63 @@ COVERAGE_FIELDS = ("age_band", "gender", "postcode", "state", "family_flag", "ma
 BOOLEAN_WORDS = ("yes", "no", "y", "n", "true", "false", "1", "0")
 EXAMPLES, EXAMPLE_CHARS = 3, 48
 
+SLOTS = 16  # of rows, in the search for the first filled values
+
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, row_number: str = "source_row_number") -> DataFrame:
     """Per column: filled and blank counts, examples and a guessed type.
 
     Everything covers every row. Examples are the first filled values by row
-    number, or the smallest ones where rows have no number; the rank limit works
-    before the shuffle too, so a few rows a task and column move.
+    number, or the smallest ones where rows have no number; rows whose number is
+    null come last. One scan tests each cell once and counts per column and slot
+    of rows, combined before the shuffle. It also keeps the first filled row of
+    each slot: the third of these numbers is no less than the third of all, so
+    only values up to it can be examples, and no other cell is ranked.
     """
     names = [c for c in (columns or df.columns) if c != row_number]
-    order = F.col(row_number) if has(df, row_number) else F.lit(0)
-    rows = df.select(order.alias("_row"), *[F.col(c).cast("string").alias(c) for c in names])
-    long = rows.unpivot("_row", names, "column", "_raw").withColumn("value", clean_text("_raw")).drop("_raw")
+    last = F.lit(2**63 - 1)
+    order = F.coalesce(F.col(f"`{row_number}`").cast("long"), last) if has(df, row_number) else F.lit(0).cast("long")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("raw")) for i, c in enumerate(names)])
+    rows = df.select(order.alias("_row"), cells.alias("_cells"))
     value = F.col("value")
-    rate = lambda test: F.avg(F.when(value.isNotNull(), test.cast("int")))
     number = F.translate(value, "$,()%", "").rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
-    place = F.row_number().over(Window.partitionBy("column").orderBy("_row", "value"))
-    first = long.filter(value.isNotNull()).withColumn("_place", place).filter(F.col("_place") <= EXAMPLES)
-    first = first.groupBy("column").agg(F.array_agg(F.struct("_place", F.substring("value", 1, EXAMPLE_CHARS).alias("v"))).alias("_first"))
-    stats = long.groupBy("column").agg(
-        F.count("value").alias("non_blank"),
-        F.count_if(value.isNull()).alias("blank"),
-        rate(dates.parse_date(value).isNotNull()).alias("_date"),
-        rate(number).alias("_number"),
-        rate(F.lower(value).isin(*BOOLEAN_WORDS)).alias("_boolean"),
-    ).join(first, "column", "left")
+    slot = F.pmod(F.xxhash64("_row"), F.lit(SLOTS)).alias("_slot")
+    per_slot = rows.select("_row", F.inline("_cells")).withColumn("value", clean_text("raw")).groupBy("i", slot).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(value).alias("filled"),
+        F.count_if(dates.parse_date(value).isNotNull()).alias("dates"),
+        F.count_if(number).alias("numbers"),
+        F.count_if(F.lower(value).isin(*BOOLEAN_WORDS)).alias("booleans"),
+        F.min(F.when(value.isNotNull(), F.col("_row"))).alias("first"),
+        F.max(F.when(value.isNotNull(), F.col("_row"))).alias("last"),
+    )
+    sums = per_slot.groupBy("i").agg(
+        *[total(c).alias(c) for c in ("rows", "filled", "dates", "numbers", "booleans")],
+        # At most one number a slot.
+        F.coalesce(F.get(F.array_sort(F.collect_list("first")), F.lit(EXAMPLES - 1)), F.max("last")).alias("bound"),
+    )
+    # One value for both uses, so that Spark runs the counting scan once: a struct and a bound per column.
+    both = F.struct(F.collect_list(F.struct(*sums.columns)).alias("sums"), F.map_from_entries(F.collect_list(F.struct("i", "bound"))).alias("bounds"))
+    state = sums.agg(both.alias("v")).scalar()
+    early = F.filter("_cells", lambda cell: F.col("_row") <= F.col("_bounds")[cell["i"]])
+    found = rows.withColumn("_bounds", state.getField("bounds")).select("_row", F.inline(early)).withColumn("value", clean_text("raw")).filter(value.isNotNull())
+    # The rank limit works before the shuffle too, so a few rows a task and column move.
+    place = F.row_number().over(Window.partitionBy("i").orderBy("_row", "value"))
+    first = found.withColumn("_place", place).filter(F.col("_place") <= EXAMPLES)
+    first = first.groupBy("i").agg(F.array_agg(F.struct("_place", F.substring("value", 1, EXAMPLE_CHARS).alias("v"))).alias("_first"))
     examples = F.coalesce(F.transform(F.sort_array("_first"), lambda e: e.getField("v")), F.array().cast("array<string>"))
     kind = (
-        F.when(F.col("non_blank") == 0, "empty")
-        .when(F.col("_date") >= 0.75, "date")
-        .when(F.col("_number") >= 0.85, "number")
-        .when(F.col("_boolean") >= 0.85, "boolean")
+        F.when(F.col("filled") == 0, "empty")
+        .when(F.col("dates") / F.col("filled") >= 0.75, "date")
+        .when(F.col("numbers") / F.col("filled") >= 0.85, "number")
+        .when(F.col("booleans") / F.col("filled") >= 0.85, "boolean")
         .otherwise("text")
     )
-    return stats.select("column", "non_blank", "blank", F.concat_ws(", ", examples).alias("example_values"), kind.alias("inferred_type"))
+    counted = df.sparkSession.range(1).select(state.getField("sums").alias("s")).select(F.inline("s"))
+    return counted.join(first, "i", "left").select(
+        F.get(F.lit(names), F.col("i")).alias("column"), F.col("filled").alias("non_blank"), (F.col("rows") - F.col("filled")).alias("blank"),
+        F.concat_ws(", ", examples).alias("example_values"), kind.alias("inferred_type"),
+    )
 
 
 def _sorted_list(c: str) -> Column:

@@ -483,17 +483,26 @@ SELECT fixture_id, competition, date, opponent, status, forecasted_sales, foreca
 
 # --- data quality ---------------------------------------------------------------------------------------
 
+_MONEY = "CASE WHEN gross_revenue < 0 THEN '(' || format('{:,.4f}', -gross_revenue::DOUBLE) || ')' ELSE '$' || format('{:,.4f}', gross_revenue::DOUBLE) END"
 _COLUMNS = {
     "txn_id": ("transaction_id", "text"), "order_number": ("order_id", "number"), "gigya_uid": ("customer_id", "text"), "competition": ("competition", "text"),
-    "event_name": ("fixture_name", "text"), "opposition": ("opponent", "text"), "stadium": ("venue", "text"),
-    "season_name": ("CASE WHEN price_type = 'Adult' THEN season_label END", "text"), "transaction_timestamp": ("transaction_date", "date"), "quantity": ("tickets_sold", "number"),
-    "total_price": ("gross_revenue", "number"), "ticket_category": ("ticket_type", "text"), "price_category": ("ticket_class", "text"), "price_code": ("price_type", "text"),
-    "ticket_status": ("status", "text"), "channel": ("sales_channel", "text"), "marketing": ("marketing_opt_in", "text"), "has_children": ("purchaser_family_flag", "boolean"),
+    "event_name": ("fixture_name || ' - ' || strftime(match_date, '%-d/%-m/%Y')", "text"), "opposition": ("opponent", "text"), "stadium": ("venue", "text"),
+    "season_name": ("CASE WHEN price_type = 'Adult' THEN replace(season_label, '/', '-') END", "text"),
+    "transaction_timestamp": ("strftime(transaction_date, '%-d/%-m/%Y %-H:%M')", "date"), "quantity": ("CAST(tickets_sold AS INTEGER)::VARCHAR", "number"),
+    "total_price": (_MONEY, "number"), "ticket_category": ("ticket_type", "text"), "price_category": ("ticket_class", "text"), "price_code": ("price_type", "text"),
+    "ticket_status": ("CASE WHEN is_refund THEN 'REFUNDED' WHEN is_comp THEN 'Complimentary' ELSE 'Sold' END", "text"), "channel": ("sales_channel", "text"),
+    "marketing": ("CASE WHEN marketing_opt_in THEN 'Subscribed' ELSE 'opt out' END", "text"), "has_children": ("CASE WHEN purchaser_family_flag THEN 'Y' ELSE 'N' END", "boolean"),
     "post_code": ("purchaser_postcode", "number"),
 }
 entry(
     "column_profile",
-    "\nUNION ALL ".join(f"SELECT '{n}' AS \"column\", count({c}) AS non_blank, count(*) - count({c}) AS blank, '{k}' AS inferred_type FROM tx" for n, (c, k) in _COLUMNS.items()),
+    "WITH numbered AS (SELECT *, CAST(order_id AS BIGINT) * 8 + CAST(split_part(transaction_id, '-', 2) AS BIGINT) AS place FROM tx)\n"
+    + "\nUNION ALL ".join(
+        f"SELECT '{n}' AS \"column\", count({c}) AS non_blank, count(*) - count({c}) AS blank, "
+        f"coalesce(array_to_string(list_transform(min({{'p': place, 'v': {c}}}, 3) FILTER ({c} IS NOT NULL), lambda e: left(e.v, 48)), ', '), '') AS example_values, "
+        f"'{k}' AS inferred_type FROM numbered"
+        for n, (c, k) in _COLUMNS.items()
+    ),
     "tx",
 )
 entry(

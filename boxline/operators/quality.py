@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from boxline.functions import dates, keys
 from boxline.functions.numbers import safe_ratio
 from boxline.functions.text import clean_text
-from boxline.operators.common import has, scalars, total
+from boxline.operators.common import CUSTOMER_KEY, has, scalars, total
 
 # Levels at which a load is questioned.
 BAD_DATE_SHARE, CUSTOMER_JOIN, FIXTURE_JOIN, DUPLICATE_SHARE = 0.05, 0.5, 0.85, 0.02
@@ -81,6 +81,22 @@ def _sorted_list(c: str) -> Column:
     return F.concat_ws(", ", F.sort_array(F.collect_set(F.col(c).cast("string"))))
 
 
+def _customer(tickets: DataFrame) -> str:
+    return CUSTOMER_KEY if has(tickets, CUSTOMER_KEY) else "customer_id"
+
+
+def repeated_share(tickets: DataFrame) -> DataFrame:
+    """Share of rows that repeat another's transaction, order, fixture and customer, as one row.
+
+    Equal rows share their customer, so tickets in customer buckets are counted
+    where they are. The bucket value of a ticket without customer follows from
+    its transaction and order.
+    """
+    keys_of_row = [_customer(tickets), "transaction_id", "order_id", "fixture_id"]
+    distinct = tickets.groupBy(*keys_of_row).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"))
+    return distinct.select(F.when(F.col("rows") > 0, 1 - F.col("keys") / F.col("rows")).otherwise(0.0).alias("repeated_share"))
+
+
 def load_metrics(tickets: DataFrame, fixtures: DataFrame, customers: DataFrame) -> DataFrame:
     """Row counts, totals and join rates of a load, as one row."""
     records = customers
@@ -88,7 +104,8 @@ def load_metrics(tickets: DataFrame, fixtures: DataFrame, customers: DataFrame)
         records = customers.filter(F.coalesce("has_customer_record", F.lit(False)))
     known = records.filter("customer_id is not null").select("customer_id").distinct().withColumn("_known", F.lit(True))
     # Counted per customer first, so that the join sees each of them once.
-    buyers = tickets.filter("customer_id is not null").groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    buyers = tickets.filter("customer_id is not null").groupBy(_customer(tickets)).agg(F.count(F.lit(1)).alias("n"))
+    buyers = buyers.withColumnRenamed(_customer(tickets), "customer_id")
     joined = scalars(
         buyers.join(known, "customer_id", "left"),
         customers=F.count(F.lit(1)),
@@ -119,9 +136,7 @@ def load_metrics(tickets: DataFrame, fixtures: DataFrame, customers: DataFrame)
 
 def validation_warnings(tickets: DataFrame, fixtures: DataFrame, customers: DataFrame, metrics: DataFrame) -> DataFrame:
     """Warnings of a load, one row each."""
-    keys_of_row = ["transaction_id", "order_id", "fixture_id", "customer_id"]
-    distinct = tickets.groupBy(*keys_of_row).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"))
-    copies = distinct.select(F.when(F.col("rows") > 0, 1 - F.col("keys") / F.col("rows")).otherwise(0.0).alias("v")).scalar()
+    copies = repeated_share(tickets).scalar()
     dates_seen = scalars(
         tickets,
         rows=F.count(F.lit(1)),

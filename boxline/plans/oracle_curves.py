@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxline.plans.oracle import AS_AT, BASE, PLAN, entry, part, r6
+from boxline.plans.oracle import AS_AT, BASE, ORACLE, PLAN, entry, part, r6
 
 # Model inputs, written out here on their own.
 CATEGORICAL = (
@@ -527,6 +527,12 @@ UNION ALL SELECT 'info', 'duplicates', 'Possible duplicate transaction/order/cus
   SELECT 1 - count(*) / sum(n) AS copies FROM (SELECT transaction_id, order_id, fid, customer_id, count(*) AS n FROM b GROUP BY 1, 2, 3, 4)) WHERE copies > 0.02""",
     "tx",
 )
+ORACLE["validation_warnings_bucketed"] = ORACLE["validation_warnings"]
+entry(
+    "repeated_rows",
+    f"""SELECT {r6("1 - (SELECT count(*) FROM (SELECT DISTINCT transaction_id, order_id, fixture_id, customer_id FROM tx)) / (count(*) + count(*) FILTER (transaction_id LIKE '%-4'))")} AS repeated_share FROM tx""",
+    "tx",
+)
 _COVER = ("age_band", "gender", "postcode", "state", "family_flag", "marketing_opt_in", "email_opt_in", "sms_opt_in")
 entry(
     "demographic_coverage",

@@ -1179,17 +1179,31 @@ def load_metrics(spark, sf_dir):
     return quality.load_metrics(m.tickets, m.fixtures, m.customers)
 
 
+def warnings_of(tickets: DataFrame, m: star.Model) -> DataFrame:
+    """Warnings of a load whose group tickets lack match and fixture."""
+    known = F.col("price_type") != "Group"
+    bare = tickets.withColumns({c: F.when(known, F.col(c)) for c in ("match_date", "fixture_id")})
+    found = quality.validation_warnings(bare, m.fixtures, m.customers, quality.load_metrics(bare, m.fixtures, m.customers))
+    return found.unionByName(quality.match_rate_warning(bare))
+
+
 @query
 def validation_warnings(spark, sf_dir):
     m = star.load(spark, sf_dir)
-    bare = m.tickets.withColumns(
-        {
-            "match_date": F.when(F.col("price_type") != "Group", F.col("match_date")),
-            "fixture_id": F.when(F.col("price_type") != "Group", F.col("fixture_id")),
-        }
-    )
-    found = quality.validation_warnings(bare, m.fixtures, m.customers, quality.load_metrics(bare, m.fixtures, m.customers))
-    return found.unionByName(quality.match_rate_warning(bare))
+    return warnings_of(m.tickets, m)
+
+
+@query
+def validation_warnings_bucketed(spark, sf_dir):
+    """The same warnings, repeated rows counted without moving a ticket."""
+    return warnings_of(bucketed(spark, sf_dir), star.load(spark, sf_dir))
+
+
+@query
+def repeated_rows(spark, sf_dir):
+    """Share of repeated rows when every fourth line of an order is sent twice."""
+    times = F.when(F.col("transaction_id").endswith("-4"), 2).otherwise(1)
+    return quality.repeated_share(bucketed(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(1), times))))
 
 
 @query

@@ -10,7 +10,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from boxline.operators import asof
+from boxline.operators import asof, quality
 from boxline.operators import customers as cust
 from boxline.sources import facts, publish, tables
 
@@ -87,6 +87,10 @@ def test_customer_buckets_move_no_ticket(spark, tmp_path):
             rows = made.select(*wanted.columns)
             assert rows.exceptAll(wanted).count() == 0 and rows.count() == wanted.count()
         assert "Exchange" not in cust.lifetime(laid, "salt")._jdf.queryExecution().executedPlan().toString()
+        again = F.explode(F.when(F.col("transaction_id").endswith("7"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        bare = lambda df: quality.repeated_share(df.withColumns({"order_id": F.lit("o"), "fixture_id": F.lit(None).cast("string"), "copy": again}))
+        assert bare(laid).first() == bare(plain).first() and bare(plain).first()[0] == 1 - 4000 / 4400
+        assert "Exchange hashpartitioning" not in bare(laid)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in cust.purchase_status(laid)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

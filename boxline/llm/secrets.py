@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found by pattern, hashed, and counted by the distinct owners and
-repositories that hold them. A value held by one owner looks like a live
-credential; one that many owners hold is a copied example. Everything here is
+repositories that hold them. A value that one owner holds in a few repositories
+looks like a live credential; one that many owners hold, or that is copied
+through many repositories of one owner, is an example. Everything here is
 DataFrame functions.
 
 Positions come without a sentinel: the parts between matches and the matches
@@ -93,14 +94,19 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _classified(rows: DataFrame, owner: Column, repository: Column, max_owners: int) -> DataFrame:
-    """Rows that have candidates, with ``_spans``: base spans, and opaque ones of few owners; each has ``live``."""
-    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_owner", owner).withColumn("_repository", repository), "secrets")
+def _classified(rows: DataFrame, owner: Column, repository: Column, max_owners: int, max_repositories: int) -> DataFrame:
+    """Rows that have candidates, with ``_spans``: base spans, and opaque ones that are live; each has ``live``.
+
+    ``rows`` are read from a written table and have a number ``_row`` of their own.
+    """
+    rows = rows.withColumn("_owner", owner).withColumn("_repository", repository)
     spans = rows.select("_row", "_owner", "_repository", F.explode(F.concat("_base", "_opaque")).alias("span")).select(
         "_row", F.col("_owner").alias("owner"), F.col("_repository").alias("repository"), "span.*"
     )
     owned = ownership(spans.select("value", "owner", "repository"))
-    judged = spans.select("_row", "start", "place", "end", "kind", "value").join(owned, "value").withColumn("live", F.col("owners") <= max_owners)
+    judged = spans.select("_row", "start", "place", "end", "kind", "value").join(owned, "value").withColumn(
+        "live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    )
     # Groups are single documents, so no list outgrows one text.
     lists = judged.where(F.col("live") | (F.col("kind") != "opaque")).groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind", "live", "owners", "repositories"))).alias("_spans")
@@ -114,20 +120,21 @@ def _origin(docs: DataFrame, owner: str, repository: tuple[str, ...]) -> tuple[C
     return field(owner), F.to_json(F.struct(*(field(name).alias(f"k{i}") for i, name in enumerate(repository))))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = 1) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repositories: int = 2) -> DataFrame:
     """One row per document with its secrets.
 
     ``spans`` lists the base kinds and, as ``opaque``, long mixed tokens beside
-    no base span that at most ``max_owners`` owners hold. ``n_live`` counts the
-    listed spans of so few owners, ``n_example`` the others.
+    no base span that look live: at most ``max_owners`` owners hold them, in at
+    most ``max_repositories`` repositories. ``n_live`` counts the listed spans
+    that look live, ``n_example`` the others.
 
     Null text counts as empty; repeated rows give repeated results; an empty
     table gives an empty result; missing owner columns count as one owner.
     """
-    found = scan(docs, text).select(F.struct(F.col("_doc").getField("doc_id").alias("doc_id"), *(F.col("_doc").getField(c).alias(c) for c in dict.fromkeys((owner, *repository)) if c in docs.columns)).alias("_doc"), "_base", "_opaque")
+    found = scan(docs, text).select(F.struct(F.col("_doc").getField("doc_id").alias("doc_id"), *(F.col("_doc").getField(c).alias(c) for c in dict.fromkeys((owner, *repository)) if c in docs.columns)).alias("_doc"), "_base", "_opaque", F.monotonically_increasing_id().alias("_row"))
     has = (F.size("_base") > 0) | (F.size("_opaque") > 0)
     slim = stored(found, "scan")
-    judged = _classified(slim.where(has), *_origin(docs, owner, repository), max_owners)
+    judged = _classified(slim.where(has), *_origin(docs, owner, repository), max_owners, max_repositories)
     count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     size = lambda test: F.size(F.filter("_spans", test)).cast("long")
     common = [F.col("_doc.doc_id").alias("doc_id"), *map(count, BASE), F.sha2(_listed(F.col("_base")), 256).alias("base_sha256")]
@@ -136,15 +143,17 @@ def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     return with_spans.unionByName(slim.where(~has).select(*common, F.lit("").alias("spans"), none.alias("n_live"), none.alias("n_example")))
 
 
-def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repositories: int = 2, mark: str = "[secret]") -> DataFrame:
     """Documents with every span that ``find_secrets`` lists replaced by ``mark``.
 
     Overlapping spans become one mark. Other documents pass unchanged and
-    unshuffled. A column ``n_chars`` is counted anew where the text changes.
+    unshuffled. A column ``n_chars`` is counted anew where the text changes. Null
+    text stays null; repeated rows stay; an empty table gives an empty result.
     """
-    found = scan(docs, text)
+    # Written once, so that the patterns run once over each text.
+    found = stored(scan(docs, text).withColumn("_row", F.monotonically_increasing_id()), "secrets")
     has = (F.size("_base") > 0) | (F.size("_opaque") > 0)
-    judged = _classified(found.where(has), *_origin(docs, owner, repository), max_owners)
+    judged = _classified(found.where(has), *_origin(docs, owner, repository), max_owners, max_repositories)
 
     def step(acc, span):
         gap = F.substring(F.col("_text"), acc["at"] + 1, span["start"].cast("int") - acc["at"])
@@ -181,15 +190,15 @@ def _duck(kind: str, text: str) -> str:
       WINDOW w AS (PARTITION BY n ORDER BY i)) WHERE {test}"""
 
 
-def oracle(max_owners: int = 1) -> str:
+def oracle(max_owners: int = 1, max_repositories: int = 2) -> str:
     base = " UNION ALL ".join(_duck(k, "t") for k in BASE)
     listed = "string_agg(kind || ':' || b::BIGINT || ':' || e::BIGINT, ',' ORDER BY b, place)"
     return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t, source, lang FROM documents),
     base AS MATERIALIZED ({base}),
     free AS (SELECT * FROM ({_duck("opaque", "t")}) o WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.n = o.n AND b.b < o.e AND o.b < b.e)),
     spans AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM free),
-    owned AS (SELECT v, count(DISTINCT coalesce('x' || source, '')) AS owners FROM spans JOIN d USING (n) GROUP BY v),
-    kept AS (SELECT *, owners <= {max_owners} AS live FROM spans JOIN owned USING (v) WHERE kind <> 'opaque' OR owners <= {max_owners}),
+    owned AS (SELECT v, count(DISTINCT coalesce('x' || source, '')) <= {max_owners} AND count(DISTINCT {{'source': source, 'lang': lang}}) <= {max_repositories} AS live FROM spans JOIN d USING (n) GROUP BY v),
+    kept AS (SELECT * FROM spans JOIN owned USING (v) WHERE kind <> 'opaque' OR live),
     a AS (SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {listed} AS s FROM base GROUP BY n),
     k AS (SELECT n, {listed} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM kept GROUP BY n)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256,

@@ -141,6 +141,18 @@ def test_secrets_sql(leaky):
     against_sql(secrets.find_secrets(leaky), secrets.oracle(), documents=leaky)
 
 
+def test_secrets_copied_through_repositories(spark):
+    """One owner: a value in two repositories looks live, one copied through three is an example."""
+    few, many = "Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MEFCQ0RFRa", "Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MEFCQ0RFRb"
+    rows = [(1, few, "a", "en"), (2, few, "a", None), (3, many, "a", "en"), (4, many, "a", "fr"), (5, many, "a", None), (6, f"token={many}", "a", "en"), (7, few, "a", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = {r["doc_id"]: (r["spans"], r["n_live"], r["n_example"]) for r in secrets.find_secrets(docs).collect()}
+    assert {i: s for i, (s, _, _) in found.items()} == {1: "opaque:0:38", 2: "opaque:0:38", 3: "", 4: "", 5: "", 6: "assign:0:44", 7: "opaque:0:38"}
+    assert found[1][1:] == (1, 0) and found[6][1:] == (0, 1)
+    against_sql(secrets.find_secrets(docs), secrets.oracle(), documents=docs)
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()} == {1: "[secret]", 2: "[secret]", 3: many, 4: many, 5: many, 6: "[secret]", 7: "[secret]"}
+
+
 def test_redaction(leaky, odd, none):
     out = secrets.redact(leaky)
     assert out.columns == leaky.columns and out.count() == len(SECRETS)

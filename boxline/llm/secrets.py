@@ -151,7 +151,8 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     text stays null; repeated rows stay; an empty table gives an empty result.
     """
     # Written once, so that the patterns run once over each text.
-    found = stored(scan(docs, text).withColumn("_row", F.monotonically_increasing_id()), "secrets")
+    found = stored(scan(docs, text).drop("_text").withColumn("_row", F.monotonically_increasing_id()), "secrets")
+    found = found.withColumn("_text", text_of(F.col("_doc").getField(text)))
     has = (F.size("_base") > 0) | (F.size("_opaque") > 0)
     judged = _classified(found.where(has), *_origin(docs, owner, repository), max_owners, max_repositories)
 

@@ -362,6 +362,8 @@ SELECT date, {", ".join(f"{r6(f'share * final * {k}')} AS {n}_daily, {r6(f'sum(s
     "pj",
 )
 
+ORACLE["visible_lines"] = f"SELECT date, forecast_expected_cumulative, stretch_cumulative FROM ({ORACLE['target_breakdown']})"
+
 # --- features and planning ------------------------------------------------------------------------------
 
 _ORDER = "PARTITION BY match_id ORDER BY date, sales_window"

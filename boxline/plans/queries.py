@@ -986,6 +986,12 @@ def target_breakdown(spark, sf_dir):
     return curves.scaled_targets(curve, final, pct, {"base": 60000.0, "stretch": 75000.0})
 
 
+@query
+def visible_lines(spark, sf_dir):
+    """Chosen lines of the target breakdown; those it lacks are left out."""
+    return curves.visible_lines(target_breakdown(spark, sf_dir), ["Stretch", "Forecast", "Actual"])
+
+
 @query
 def target_breakdown_chart(spark, sf_dir):
     """Saved base and stretch targets of one arena's fixtures and last season's sales beside the projection."""

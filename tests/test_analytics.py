@@ -74,6 +74,13 @@ def test_gap_fill_and_tracking(spark):
     assert [r.historical_cumulative for r in chart] == [42, 42, 42]
 
 
+def test_visible_lines(spark):
+    chart = spark.sql("SELECT date'2026-08-01' AS date, 100 AS forecast_expected_cumulative, 110 AS forecast_plus_10_cumulative, 105 AS base_cumulative, 125 AS stretch_cumulative, 50 AS actual_cumulative")
+    assert curves.visible_lines(chart, ["Base", "Stretch", "Forecast +10%", "Forecast"]).columns == ["date", *[c for c in chart.columns[1:3]], "stretch_cumulative", "base_cumulative"]
+    assert curves.visible_lines(chart, ["Base", "unknown"], keys=()).first().asDict() == {"base_cumulative": 105}
+    assert curves.visible_lines(chart, ["Base"], "daily").columns == ["date"]
+
+
 def test_early_segments(spark):
     rows = tickets(spark, {"transaction_date": "2025-08-10", "ticket_class": "Boundary Zone"}, {"paid_tickets_sold": 7.0})
     got = recommend.early_segments(rows, "2025/26", "BBL", "ticket_class", 1).collect()

@@ -79,3 +79,14 @@ def test_window_ladders(spark):
     assert run(spark, [31, 32, 75, 76, 121], windows.window_of_offset, "int") == ["early-sales", "general-sale", "general-sale", "campaign-window", "match-week"]
     assert run(spark, ["Early Bird", "match_week", "Unknown", None], windows.window_order) == [1, 4, 2, 2]
     assert run(spark, ["early-sales", "match-week"], windows.next_window) == ["campaign-window", "match-week"]
+
+
+def test_only_texts_that_begin_like_dates_are_rewritten(spark):
+    d = dt.datetime
+    cases = {
+        "  26/7/2024 12:00 ": d(2024, 7, 26, 12), "2024.7.6": None, "6.7.2024": d(2024, 7, 6), "2024/7/6 x": None, "July 6, 2024": d(2024, 7, 6), "6-Jul-2024 9:05": d(2024, 7, 6, 9, 5),
+        "005 Jul 2024": d(2024, 7, 5), "1/2/2024 3:04 pm": d(2024, 2, 1, 15, 4), "General Admission": None, "Brand#5": None, "12345-6": None, "MIDDLE EAST Arena 2024": None, "v 6/7/2024": None, "-": None,
+    }
+    assert run(spark, list(cases), dates.parse_date) == list(cases.values())
+    plan = spark.range(1).select(dates.parse_date(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("(?i)^([+-]?[0-9]|[a-z]+ [0-9])") < plan.index("try_to_timestamp" if "try_to_timestamp" in plan else "gettimestamp")

@@ -16,7 +16,7 @@ from boxline.operators import (
 from boxline.operators.common import ranked
 from boxline.operators.filters import TicketFilter
 from boxline.plans import ingestion, outputs, pages
-from boxline.sources import facts, star, tables
+from boxline.sources import star, tables
 from boxline.sources.csv import REJECTS, read_export
 from boxline.sources.mapping import suggest_mapping
 from boxline.sources.session import materialise, new_path
@@ -629,9 +629,7 @@ def quantile_whole_table(spark, sf_dir):
 
 def bucketed(spark, sf_dir) -> DataFrame:
     """All tickets laid out by customer inside each season, and read back."""
-    path = new_path(spark, "facts")
-    facts.write_facts(star.load(spark, sf_dir).tickets, path, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return facts.read_facts(spark, path)
+    return star.bucketed(spark, sf_dir)
 
 
 @query

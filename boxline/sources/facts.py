@@ -8,6 +8,7 @@ one a value that matches nothing, so that they are spread over all buckets.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +16,10 @@ from boxline.operators.common import CUSTOMER_KEY, has, spread_null_key
 from boxline.sources.publish import _names
 
 
-def write_facts(tickets: DataFrame, path: str, buckets: int) -> None:
+SEASONS = ("season_label",)
+
+
+def write_facts(tickets: DataFrame, path: str, buckets: int, by: Sequence[str] = SEASONS) -> None:
     """Write tickets to a new folder; ``buckets`` should be at least the number of shuffle partitions used later.
 
     With fewer, Spark prefers to shuffle both sides of a join for the sake of
@@ -23,17 +27,34 @@ def write_facts(tickets: DataFrame, path: str, buckets: int) -> None:
     """
     spread = [c for c in ("transaction_id", "order_id") if has(tickets, c)] or tickets.columns
     keyed = tickets.withColumn(CUSTOMER_KEY, spread_null_key("customer_id", *spread))
+    write_placed(keyed.repartition(buckets, CUSTOMER_KEY), path, buckets, by)
+
+
+def write_placed(rows: DataFrame, path: str, buckets: int, by: Sequence[str] = SEASONS) -> None:
+    """Write rows that lie in their buckets already, such as those read from others. They are not moved."""
     name = f"facts_{uuid.uuid4().hex}"
-    rows = keyed.repartition(buckets, CUSTOMER_KEY).write.format("parquet").partitionBy("season_label").bucketBy(buckets, CUSTOMER_KEY)
-    rows.option("path", f"{path}/b{buckets}").saveAsTable(name)
-    tickets.sparkSession.sql(f"DROP TABLE {name}")  # the files stay; each session names them anew
+    writer = rows.write.format("parquet").option("compression", "zstd").bucketBy(buckets, CUSTOMER_KEY)
+    writer = writer.partitionBy(*by) if by else writer
+    writer.option("path", f"{path}/b{buckets}").saveAsTable(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")  # the files stay; each session names them anew
+
+
+def _layout(spark: SparkSession, path: str) -> str:
+    return next(n for n in _names(spark, path) if n[:1] == "b" and n[1:].isdigit())
+
+
+def read_plain(spark: SparkSession, path: str) -> DataFrame:
+    """Tickets of the same folder without their bucket column, read in parts of any size."""
+    return spark.read.parquet(f"{path}/{_layout(spark, path)}").drop(CUSTOMER_KEY)
 
 
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
+def read_facts(spark: SparkSession, path: str, by: Sequence[str] = SEASONS) -> DataFrame:
     """Tickets of a folder that ``write_facts`` made, with their buckets known to Spark."""
-    layout = next(n for n in _names(spark, path) if n[:1] == "b" and n[1:].isdigit())
+    layout = _layout(spark, path)
     place, name = f"{path}/{layout}", f"facts_{uuid.uuid4().hex}"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema.fields)
-    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet PARTITIONED BY (season_label) CLUSTERED BY ({CUSTOMER_KEY}) INTO {layout[1:]} BUCKETS LOCATION '{place}'")
-    spark.catalog.recoverPartitions(name)
+    parts = f"PARTITIONED BY ({', '.join(by)}) " if by else ""
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet {parts}CLUSTERED BY ({CUSTOMER_KEY}) INTO {layout[1:]} BUCKETS LOCATION '{place}'")
+    if by:
+        spark.catalog.recoverPartitions(name)
     return spark.table(name)

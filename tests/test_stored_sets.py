@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from boxline.operators import asof, quality
 from boxline.operators import customers as cust
-from boxline.sources import facts, publish, tables
+from boxline.sources import facts, publish, star, tables
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -131,3 +131,29 @@ def test_forests_do_not_depend_on_cores():
         assert not done.returncode, done.stderr[-2000:]
         said.append(next(line for line in done.stdout.splitlines() if line.startswith("RESULT")))
     assert said[0] == said[1] and len(said[0]) > 1000
+
+
+def test_load_moves_compact_rows_once(spark, tmp_path):
+    path = str(tmp_path)
+    put = lambda name, df: df.coalesce(1).write.parquet(f"{path}/{name}.parquet")
+    at = F.lit("1998-03-01").cast("timestamp_ntz")
+    put("region", spark.sql("select 0 r_regionkey, 'ASIA' r_name"))
+    put("nation", spark.sql("select cast(id as int) n_nationkey, concat('N', id) n_name, if(id = 4, null, 0) n_regionkey from range(5)"))
+    put("supplier", spark.sql("select id s_suppkey, cast(id % 5 as int) s_nationkey from range(5)"))
+    put("customer", spark.sql("select id c_custkey, cast(id % 25 as int) c_nationkey, if(id = 3, null, id - 2.0D) c_acctbal, 'HOUSEHOLD' c_mktsegment from range(20)"))
+    put("part", spark.sql("select id p_partkey, 'Brand#1' p_brand, 'PROMO' p_type, cast(id * 30 as int) p_size from range(3)"))
+    put("orders", spark.range(300).select(F.col("id").alias("o_orderkey"), (F.col("id") % 20).alias("o_custkey"), F.when(F.col("id") % 3 == 0, "P").otherwise("O").alias("o_orderstatus"), (at + F.make_dt_interval(F.col("id").cast("int"))).alias("o_orderdate"), F.lit("5-LOW").alias("o_orderpriority")))
+    put("lineitem", spark.sql(
+        "select id div 4 l_orderkey, id % 3 l_partkey, id % 5 l_suppkey, cast(id % 4 + 1 as int) l_linenumber, 2.0D l_quantity, 10.0D l_extendedprice, if(id % 7 = 0, 0.0D, 0.1D) l_discount,"
+        " if(id % 2 = 0, 0.08D, null) l_tax, if(id % 3 = 0, 'R', 'N') l_returnflag, 'O' l_linestatus from range(1200)"))
+    plan = star.transactions(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning(l_suppkey" in line for line in plan.split("\n"))  # the whole of lineitem was moved for it
+    m, laid = star.load(spark, path), star.bucketed(spark, path)
+    wanted = cust.purchase_status(star.transactions(spark, path))
+    assert m.tickets.count() == 960 and m.tickets.select(*wanted.columns).exceptAll(wanted).count() == 0  # a fifth has a nation without region
+    assert laid.select(*m.tickets.columns).exceptAll(m.tickets).count() == 0 and laid.count() == 960
+    assert "Exchange" not in cust.lifetime(laid, "salt")._jdf.queryExecution().executedPlan().toString()
+    # Distinct seasons no longer move the groups a second time.
+    assert cust.lifetime(m.tickets, "salt")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    seasons = m.tickets.where("customer_id is not null").groupBy("customer_id").agg(F.count_distinct("season_label").alias("n"))
+    assert sorted(m.customers.where("has_ticket_history").select("customer_id", "seasons_purchased_count").collect()) == sorted(seasons.collect())

@@ -10,9 +10,10 @@ from boxline.functions import dates, keys, windows
 from boxline.functions.numbers import safe_index, safe_ratio
 from boxline.operators import segments as seg
 from boxline.operators.customers import add_behaviour
-from boxline.operators.common import ranked
+from boxline.operators.common import CUSTOMER_KEY, has, ranked
 from boxline.operators.filters import ALL
 from boxline.operators.summaries import next_fixture
+from boxline.sources.session import materialise
 
 # Index levels, statuses and their rank in reports.
 THRESHOLDS = {"ahead": 1.10, "on_track": 0.95, "watch": 0.85, "behind": 0.70}
@@ -57,13 +58,16 @@ def _group_measures(rows: DataFrame, kind: seg.GroupKind, labels: list[str]) ->
     """Sums, purchasers, orders and usual windows per season and group.
 
     The labels of a row are one bit mask, so the fact table is shuffled once and
-    unmultiplied. Sums per mask, and the masks of each customer and order, are
+    unmultiplied; tickets in customer buckets are not moved at all. What five
+    aggregates read is written once. Sums per mask, and the masks of each customer and order, are
     counted before the masks become groups; what multiplies is a count per mask.
     """
     key = ["season_label", "_product"] if kind.product or not kind.uses_segments else ["season_label"]
-    base = rows.groupBy(*key, "_mask", "customer_id", "order_id", "usual_purchase_window", "sales_window", "by_now").agg(
+    place = [CUSTOMER_KEY] if has(rows, CUSTOMER_KEY) else []
+    base = rows.groupBy(*place, *key, "_mask", "customer_id", "order_id", "usual_purchase_window", "sales_window", "by_now").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(column).alias(name) for name, column in _MEASURES.items()]
     )
+    base = materialise(base.drop(*place), "index")
 
     def grouped(frame: DataFrame) -> DataFrame:
         """One row per group of each mask."""
@@ -101,7 +105,7 @@ def index_measures(
     tickets: DataFrame, customers: DataFrame, matches: DataFrame, current_label: str, competition: str, as_at,
     kind: seg.GroupKind, baseline: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Current sales and baseline means per group, in one pass over the tickets."""
+    """Current sales and baseline means per group, in one pass over the tickets, best in their customer buckets."""
     at = dates.date_lit(as_at)
     own = matches.filter(F.col("season_label") == current_label)
     rows = tickets.filter(F.col("transaction_date").isNotNull() & F.col("season_label").isNotNull())
@@ -120,10 +124,11 @@ def index_measures(
     by_now = is_current | (days_left <= 0) | (F.coalesce(out, F.lit(-9999)) >= days_left)
     rows = rows.withColumn("_days_left", point.select("same_point").scalar()).withColumn("by_now", by_now).drop("_days_left")
 
+    place = [CUSTOMER_KEY] if has(rows, CUSTOMER_KEY) else []
     values = None
     if kind.uses_segments:
         own_value = ["lifetime_revenue"] if "lifetime_revenue" in rows.columns else []
-        values = rows.groupBy(is_current.alias("_current"), "customer_id", *own_value).agg(F.count(F.lit(1)).alias("_weight"))
+        values = rows.groupBy(is_current.alias("_current"), "customer_id", *own_value, *place).agg(F.count(F.lit(1)).alias("_weight"))
         values = add_behaviour(values, customers) if customers is not None else values
         values = values.select("_current", "_weight", seg.number_of(values, "lifetime_revenue").alias("_value"))
     if customers is not None:
@@ -141,7 +146,7 @@ def index_measures(
         cut = F.col("_cut")
     keep = [
         "season_label", "customer_id", "order_id", "usual_purchase_window", "sales_window", "by_now",
-        "paid_tickets_sold", "comp_tickets_sold", "tickets_sold", "gross_revenue",
+        "paid_tickets_sold", "comp_tickets_sold", "tickets_sold", "gross_revenue", *place,
     ]
     masked, labels_of_mask = seg.with_masks(rows, kind, keep, cut)
     parts = _group_measures(masked, kind, labels_of_mask)

@@ -744,7 +744,7 @@ def segment_audience_sizes(spark, sf_dir):
 
 def index_of(spark, sf_dir, kind: str, competition: str = "All", min_size: float = 100, baseline=star.BASELINE) -> DataFrame:
     m = star.load(spark, sf_dir)
-    return ix.expected_index(m.tickets, m.customers, m.matches, star.PLANNING_LABEL, competition, star.AS_AT, kind, baseline, min_size)
+    return ix.expected_index(bucketed(spark, sf_dir), m.customers, m.matches, star.PLANNING_LABEL, competition, star.AS_AT, kind, baseline, min_size)
 
 
 @query
@@ -1237,7 +1237,7 @@ def page_forecasting_drafts(spark, sf_dir):
 def page_tracker_highlights(spark, sf_dir):
     m = star.load(spark, sf_dir)
     f = TicketFilter(season_label=star.PLANNING_LABEL)
-    return pages.season_tracker(m.tickets, m.customers, m.fixtures, m.matches, f, star.AS_AT, star.BASELINE, typical_forecasts(m))["highlights"]
+    return pages.season_tracker(bucketed(spark, sf_dir), m.customers, m.fixtures, m.matches, f, star.AS_AT, star.BASELINE, typical_forecasts(m))["highlights"]
 
 
 @query
@@ -1249,7 +1249,7 @@ def page_breakdown_curve(spark, sf_dir):
 
 def planner(spark, sf_dir) -> pages.Page:
     m = star.load(spark, sf_dir)
-    return pages.marketing_planner(m.tickets, m.customers, m.matches, star.PLANNING_LABEL, "All", star.AS_AT, star.BASELINE, 300)
+    return pages.marketing_planner(bucketed(spark, sf_dir), m.customers, m.matches, star.PLANNING_LABEL, "All", star.AS_AT, star.BASELINE, 300)
 
 
 @query
@@ -1265,7 +1265,7 @@ def page_planner_coverage(spark, sf_dir):
 @query
 def page_planning_early_segments(spark, sf_dir):
     m = star.load(spark, sf_dir)
-    page = pages.audience_planning(m.tickets, m.customers, m.matches, star.PLANNING_LABEL, "All", star.AS_AT, star.BASELINE, "ticket_class", 10)
+    page = pages.audience_planning(bucketed(spark, sf_dir), m.customers, m.matches, star.PLANNING_LABEL, "All", star.AS_AT, star.BASELINE, "ticket_class", 10)
     return page["early_segments"]
 
 
@@ -1279,7 +1279,7 @@ def page_recommended_windows(spark, sf_dir):
 def page_report_insights(spark, sf_dir):
     m = star.load(spark, sf_dir)
     f = TicketFilter(season_label=star.PLANNING_LABEL)
-    return pages.report(m.tickets, m.customers, m.fixtures, m.matches, f, star.AS_AT, star.BASELINE, typical_forecasts(m), 120000.0, 150000.0)["insights"]
+    return pages.report(bucketed(spark, sf_dir), m.customers, m.fixtures, m.matches, f, star.AS_AT, star.BASELINE, typical_forecasts(m), 120000.0, 150000.0)["insights"]
 
 
 @query

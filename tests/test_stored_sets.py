@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from boxline.operators import asof, quality
-from boxline.operators import customers as cust
+from boxline.operators import customers as cust, index as ix, segments as seg
 from boxline.sources import facts, publish, star, tables
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -157,3 +157,28 @@ def test_load_moves_compact_rows_once(spark, tmp_path):
     assert cust.lifetime(m.tickets, "salt")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     seasons = m.tickets.where("customer_id is not null").groupBy("customer_id").agg(F.count_distinct("season_label").alias("n"))
     assert sorted(m.customers.where("has_ticket_history").select("customer_id", "seasons_purchased_count").collect()) == sorted(seasons.collect())
+
+
+def test_index_reads_the_buckets_once(spark, tmp_path, monkeypatch):
+    path, plans, kept = str(tmp_path / "facts"), [], ix.materialise
+    rows = spark.sql(
+        "select concat('t', id) transaction_id, concat('o', id div 2) order_id, if(id % 9 = 0, null, concat('C', id div 2 % 20)) customer_id, 'BBL' competition,"
+        " if(id % 3 = 0, '2026/27', '2025/26') season_label, cast(if(id % 3 = 0, '2026-09-01', '2025-09-01') as timestamp_ntz) transaction_date, date'2025-12-31' match_date,"
+        " 'Presale' sales_window, if(id % 2 = 0, 'Gold', null) ticket_class, 'Adult' price_type, id % 5 = 0 is_comp, false is_refund, 1.0D paid_tickets_sold, 0.0D comp_tickets_sold,"
+        " 1.0D tickets_sold, cast(id as decimal(18,4)) gross_revenue from range(400)"
+    )
+    people = spark.sql("select concat('C', id) customer_id, cast(id as double) lifetime_tickets, cast(id as double) lifetime_revenue, 'Presale' usual_purchase_window from range(15)")
+    matches = spark.sql("select '2026/27' season_label, 'BBL' competition, date'2026-12-31' event_date")
+    facts.write_facts(rows, path, 8)
+    # A ticket's order is not what it is moved by, and its row is written before five aggregates read it.
+    monkeypatch.setattr(ix, "materialise", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        measures = lambda tickets: ix.index_measures(tickets, people, matches, "2026/27", "BBL", "2026-10-01", seg.SEGMENT_PRODUCT)
+        laid = sorted(map(str, measures(facts.read_facts(spark, path)).collect()))
+        assert laid == sorted(map(str, measures(facts.read_plain(spark, path)).collect())) and len(laid) > 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ["order_id" in line for plan in plans for line in plan.split("\n") if "Exchange hashpartitioning" in line].count(True) > 0
+    assert not any("Exchange" in line and "order_id" in line for line in plans[0].split("\n"))

@@ -123,6 +123,68 @@ def test_words_are_weighed_by_their_distinct_predecessors(spark):
     assert words["free"][0] > 5 * words["francisco"][0] > 0
 
 
+def plain_toxicity(texts, corpus):
+    """Tables from plain counts of all labelled texts (target, text) and of the corpus."""
+    counts, documents, follows = {}, {}, {}
+    for text in corpus:
+        for w in set(toxicity.words_of(text)):
+            documents[w] = documents.get(w, 0) + 1
+    for target, text in texts:
+        words = toxicity.words_of(text)
+        single = set(words)
+        found = {("word", "", w) for w in single} | {("pair", a, b) for a, b in zip(["", *words], words)}
+        found |= {(str(n), "", w[:n]) for n in toxicity.BEGINNINGS for w in single if len(w) > n}
+        for x in found:
+            counts.setdefault(x, [0, 0])[1 - target] += 1
+        for a, b in zip(["", *words], words):
+            for level, key in [("word", b), *((str(n), b[:n]) for n in toxicity.BEGINNINGS if len(b) > n)]:
+                follows.setdefault((level, key), [set(), set()])[1 - target].add(a)
+    kept, totals = [], {}
+    for (level, a, b), n in counts.items():
+        if level == "pair":
+            totals[level, a] = tuple(x + y for x, y in zip(totals.get((level, a), (0, 0)), n))
+        if sum(n) >= toxicity.LEAST:
+            kept.append((level, a, b, *(n if level == "pair" else map(len, follows[level, b]))))
+    for (level, _), sets in follows.items():
+        totals[level, ""] = tuple(x + len(y) for x, y in zip(totals.get((level, ""), (0, 0)), sets))
+    return toxicity.estimate(kept, totals, documents, sum(documents.values()))
+
+
+def labelled_prose(spark, n):
+    r = random.Random(5)
+    ids = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    texts = [(i, " ".join(r.choices(["alpha", "beta", "gamma", "delta", "scumbag" if i % 3 == 0 else "flower", "bananas", "go", f"odd{i}"], k=12))) for i in ids]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    return docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic"), [(int(i % 3 == 0), t) for i, t in texts if zlib.crc32(str(i).encode()) % 5 < 4]
+
+
+def test_toxicity_counts_every_labelled_text(spark, monkeypatch):
+    docs, labels, texts = labelled_prose(spark, 600)
+    monkeypatch.setattr(toxicity, "PER_CLASS", 40, raising=False)  # no bound is left to heed
+    tables = toxicity.train(docs, labels)[0]
+    some = ["scumbag alpha", "flower go beta", "bananas unseen alpha beta", "", texts[0][1]]
+    assert np.allclose(toxicity.Scorer(tables)(some), toxicity.Scorer(plain_toxicity(set(texts), [r["text"] for r in docs.collect()]))(some), atol=1e-12)
+
+
+@pytest.mark.parametrize("head", [0, 3])
+def test_toxicity_joins_what_tasks_do_not_hold(spark, monkeypatch, head):
+    docs, labels, _ = labelled_prose(spark, 300)
+    rows = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, "scumbag go"), (7, None), (9, "")], docs.schema))
+    read = lambda: sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in toxicity.score_documents(rows, labels).collect())
+    whole = read()
+    monkeypatch.setattr(toxicity, "HEAD", dict.fromkeys(toxicity.HEAD, head))
+    assert read() == whole and len({s for _, s in whole}) > 50
+
+
+def test_calibration_by_aggregates_is_that_of_all_rows(spark):
+    r = np.random.default_rng(4)
+    target = r.integers(0, 2, 500)
+    scores = r.normal(size=500) * 0.01 + 0.008 * target
+    rows = spark.createDataFrame(list(zip(scores.tolist(), target.tolist())), "score double, target long")
+    assert np.allclose(labelled.platt_of(rows), labelled.platt(scores, target.astype(float), np.ones(500)), rtol=1e-5)
+    assert labelled.platt_of(rows.where("target = 1"))[0] == 0 and labelled.platt_of(rows.limit(0)) == (0.0, 0.0)
+
+
 def brute_neighbours(rows, every, k):
     usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 4]
     for q, a in usable:

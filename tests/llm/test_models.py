@@ -158,9 +158,8 @@ def labelled_prose(spark, n):
     return docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic"), [(int(i % 3 == 0), t) for i, t in texts if zlib.crc32(str(i).encode()) % 5 < 4]
 
 
-def test_toxicity_counts_every_labelled_text(spark, monkeypatch):
-    docs, labels, texts = labelled_prose(spark, 600)
-    monkeypatch.setattr(toxicity, "PER_CLASS", 40, raising=False)  # no bound is left to heed
+def test_toxicity_counts_every_labelled_text(spark):
+    docs, labels, texts = labelled_prose(spark, 9000)  # more than 4000 of a class
     tables = toxicity.train(docs, labels)[0]
     some = ["scumbag alpha", "flower go beta", "bananas unseen alpha beta", "", texts[0][1]]
     assert np.allclose(toxicity.Scorer(tables)(some), toxicity.Scorer(plain_toxicity(set(texts), [r["text"] for r in docs.collect()]))(some), atol=1e-12)

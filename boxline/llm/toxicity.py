@@ -249,7 +249,7 @@ def assemble(lower: dict, histories: tuple, pairs: tuple, down: dict, complete:
     order = np.argsort(keys)
     tables = {
         "numbers": numbers, "words": _Values(numbers, words), "known_word": known_word, "known_history": known_history,
-        "beginnings": {str(n): _Values({w: i for i, w in enumerate(lower[str(n)][0])}, lower[str(n)][1]) for n in BEGINNINGS},
+        "beginnings": {str(n): ({w: i for i, w in enumerate(lower[str(n)][0])}, lower[str(n)][1]) for n in BEGINNINGS},
         "down": down, "complete": complete, "pair_keys": keys[order], "pair_values": pairs[2][order], "pair_down": pair_down,
     }
     tables["values"], tables["open"] = _unpaired(tables, list(numbers), words, known_word)
@@ -260,10 +260,10 @@ def _unpaired(tables: dict, names: list[str], own: np.ndarray, known: np.ndarray
     """Both models' probabilities of words as multiples of the shared one, and whether an expression in them may be missing here."""
     values, missing = np.ones((len(names), 2)), ~known & ("word" not in tables["complete"])
     for n in BEGINNINGS:
-        level, down = tables["beginnings"][str(n)], tables["down"][str(n)]
+        (index, held), down = tables["beginnings"][str(n)], tables["down"][str(n)]
         longer = np.flatnonzero(np.fromiter((len(w) > n for w in names), bool, len(names)))
-        at = np.fromiter((level.index.get(names[i][:n], -1) for i in longer), np.int64, len(longer))
-        found = np.where((at >= 0)[:, None], level.values[at], 0.0) if len(level.values) else np.zeros((len(at), 2))
+        at = np.fromiter((index.get(names[i][:n], -1) for i in longer), np.int64, len(longer))
+        found = np.where((at >= 0)[:, None], held[at], 0.0) if len(held) else np.zeros((len(at), 2))
         values[longer] = found + np.array(down) * values[longer]
         if str(n) not in tables["complete"]:
             missing[longer[at < 0]] = True
@@ -395,7 +395,8 @@ def ratios(rows: DataFrame, model: Model) -> DataFrame:
 
     What needs expressions that the tables lack is summed by joins with the frames.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model.tables)
+    # Plain values only: tasks need not know this module.
+    shared = rows.sparkSession.sparkContext.broadcast({name: held for name, held in model.tables.items() if name != "words"})
 
     def run(batches):
         scorer = Scorer(shared.value)

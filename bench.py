@@ -40,7 +40,7 @@ def main() -> None:
 
     timings: dict[str, float] = {}
     start = time.time()
-    star.load(spark, sf_dir)
+    star.load(spark, sf_dir).write()
     timings["load"] = round(time.time() - start, 3)
     for name in HEADLINE:
         start = time.time()

@@ -417,10 +417,10 @@ def processed_sets(spark, sf_dir):
     whole = dict(zip(tables.PROCESSED, (m.tickets, m.fixtures, m.customers, m.matches, m.daily, rejects)))
     for season in ("2022/23", "2023/24", star.PLANNING_LABEL):
         kept = {n: t.filter(F.col("season_label") <= season) if n in ("transactions_normalised", "matches") else t for n, t in whole.items()}
-        tables.write_processed(kept, folder)
+        tables.write_processed(kept, folder, placed=star.BY_SEASON)
     try:
         broken = whole["customers_normalised"].withColumn("customer_id", F.raise_error(F.lit("interrupted")).cast("string"))
-        tables.write_processed({**whole, "transactions_normalised": whole["transactions_normalised"].limit(0), "customers_normalised": broken}, folder)
+        tables.write_processed({**whole, "transactions_normalised": whole["transactions_normalised"].limit(0), "customers_normalised": broken}, folder, placed=star.BY_SEASON)
     except PySparkException:
         pass
     seen = tables.load_processed(spark, folder)
@@ -437,7 +437,7 @@ def processed_round_trip(spark, sf_dir):
     m, folder = star.load(spark, sf_dir), new_path(spark, "processed-copy")
     rejects = spark.createDataFrame([], f"kind string, {REJECTS}")
     held = (m.tickets, m.fixtures, m.customers, m.matches, m.daily, rejects)
-    tables.write_processed(dict(zip(tables.PROCESSED, held)), folder)
+    tables.write_processed(dict(zip(tables.PROCESSED, held)), folder, placed=star.BY_SEASON)
     back = tables.load_processed(spark, folder)["transactions_normalised"]
     return back.groupBy("season_label").agg(F.count(F.lit(1)).alias("rows"), F.sum("paid_tickets_sold").alias("paid"), F.count_distinct("customer_id").alias("buyers"))
 

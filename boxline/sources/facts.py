@@ -8,9 +8,9 @@ one a value that matches nothing, so that they are spread over all buckets.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from boxline.operators.common import CUSTOMER_KEY, has, spread_null_key
 from boxline.sources.publish import _names
@@ -19,15 +19,27 @@ from boxline.sources.publish import _names
 SEASONS = ("season_label",)
 
 
-def write_facts(tickets: DataFrame, path: str, buckets: int, by: Sequence[str] = SEASONS) -> None:
+def bucket_key(customer: Column | str, *spread: Column | str) -> Column:
+    """The bucket value of a ticket; one without customer gets a value by ``spread``."""
+    return spread_null_key(customer, *spread)
+
+
+def write_facts(
+    tickets: DataFrame, path: str, buckets: int, by: Sequence[str] = SEASONS,
+    finish: Callable[[DataFrame], DataFrame] | None = None, key: Column | None = None,
+) -> None:
     """Write tickets to a new folder; ``buckets`` should be at least the number of shuffle partitions used later.
 
     With fewer, Spark prefers to shuffle both sides of a join for the sake of
-    more tasks. Each task writes one bucket, one file a season.
+    more tasks. Each task writes one bucket, one file a season. ``finish`` makes
+    tickets of narrower rows after these moved by ``key``, their bucket value.
     """
-    spread = [c for c in ("transaction_id", "order_id") if has(tickets, c)] or tickets.columns
-    keyed = tickets.withColumn(CUSTOMER_KEY, spread_null_key("customer_id", *spread))
-    write_placed(keyed.repartition(buckets, CUSTOMER_KEY), path, buckets, by)
+    def keyed(rows: DataFrame) -> DataFrame:
+        spread = [c for c in ("transaction_id", "order_id") if has(rows, c)] or rows.columns
+        return rows.withColumn(CUSTOMER_KEY, bucket_key("customer_id", *spread))
+
+    moved = keyed(tickets).repartition(buckets, CUSTOMER_KEY) if finish is None else keyed(finish(tickets.repartition(buckets, key)))
+    write_placed(moved, path, buckets, by)
 
 
 def write_placed(rows: DataFrame, path: str, buckets: int, by: Sequence[str] = SEASONS) -> None:

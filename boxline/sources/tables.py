@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -54,9 +56,12 @@ def load_daily_sales(spark: SparkSession, folder: str, prefer_parquet: bool = Tr
     return rows.withColumn("days_to_event", F.col("days_to_event").cast("int"))
 
 
-def write_processed(tables: dict[str, DataFrame], folder: str) -> None:
-    """Replace the processed tables, all of them at once; tickets are laid out by season."""
-    publish({name: tables[name] for name in PROCESSED}, folder, PROCESSED)
+def write_processed(tables: dict[str, DataFrame], folder: str, placed: Collection[str] = ()) -> None:
+    """Replace the processed tables, all of them at once; tickets are laid out by season.
+
+    Tables in ``placed`` are read from files by season, as those of a load are, and need no shuffle for it.
+    """
+    publish({name: tables[name] for name in PROCESSED}, folder, PROCESSED, placed=placed)
 
 
 def load_processed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

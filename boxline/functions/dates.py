@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-from boxline.functions.text import col, once, strip
+from boxline.functions.text import WHITESPACE, col, once, strip
 
 DAY_MICROS = 86_400_000_000
 _NUMERIC = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})(?![0-9])"
@@ -23,6 +23,10 @@ _NUMBERED = r"^[0-9]{1,4}[/.-][0-9]{1,2}[/.-]"
 _WORDED = r"(?i)^([0-9]+[ -]|[a-z]+ [0-9])"
 
 
+# What every text has that any layout below fits, whatever white space is around it: a text without it costs one look.
+_POSSIBLE = rf"(?is)^[\s{WHITESPACE}]*+(?:[0-9]{{1,4}}[/.-][0-9]{{1,2}}[/.-]|[0-9]++[ -](?:.*[0-9 ,-])?[a-z]{{3}}|[a-z]+ [0-9]|[+-]?[0-9].*[ap]m\s*$)"
+
+
 def _timestamp(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
 
@@ -35,9 +39,10 @@ def parse_date(c: Column | str, day_first: bool = True) -> Column:
     its own layout: texts are rewritten to ISO shape, so one cast serves all.
     A text is rewritten only if it begins like a date, as most cells do not.
     The two commonest layouts, with a year of four digits, need one rewriting.
+    A column given by its name is trimmed and read only where a date is possible.
     """
     if isinstance(c, str):
-        return once(strip(c), lambda trimmed: _read_date(F.col(c), trimmed, day_first))
+        return F.when(F.col(c).cast("string").rlike(_POSSIBLE), once(strip(c), lambda trimmed: _read_date(F.col(c), trimmed, day_first)))
     return once(c, lambda raw: once(strip(raw), lambda trimmed: _read_date(raw, trimmed, day_first)))
 
 

@@ -17,8 +17,22 @@ LOW_COVERAGE = 40
 COVERAGE_FIELDS = ("age_band", "gender", "postcode", "state", "family_flag", "marketing_opt_in", "email_opt_in", "sms_opt_in")
 BOOLEAN_WORDS = ("yes", "no", "y", "n", "true", "false", "1", "0")
 EXAMPLES, EXAMPLE_CHARS = 3, 48
+# A number, with signs of money, brackets and percent anywhere in it.
+_SIGNS = "$,()%"
+NUMBER = rf"^[\s{_SIGNS}]*+([+-][{_SIGNS}]*+)?([0-9][0-9{_SIGNS}]*+(\.[0-9{_SIGNS}]*+)?|\.[{_SIGNS}]*+[0-9][0-9{_SIGNS}]*+)([eE][{_SIGNS}]*+([+-][{_SIGNS}]*+)?[0-9][0-9{_SIGNS}]*+)?[\s{_SIGNS}]*+$"
 
 SLOTS = 16  # of rows, in the search for the first filled values
+FILLED, DATE, NUMERIC, BOOLEAN = 1, 2, 4, 8  # what a cell is, as bits
+
+
+def _kinds(c: str) -> Column:
+    """What a cleaned text can be read as."""
+    value = F.col(c)
+    # Lower case is never shorter, so longer texts are no such word.
+    boolean = (F.length(value) <= max(map(len, BOOLEAN_WORDS))) & F.lower(value).isin(*BOOLEAN_WORDS)
+    bit = lambda test, kind: F.when(test, kind).otherwise(0)
+    read = bit(dates.parse_date(c).isNotNull(), DATE) + bit(value.rlike(NUMBER), NUMERIC) + bit(boolean, BOOLEAN)
+    return F.when(value.isNull(), 0).otherwise(read + FILLED).cast("tinyint")
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, row_number: str = "source_row_number") -> DataFrame:
@@ -26,27 +40,29 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, row_num
 
     Everything covers every row. Examples are the first filled values by row
     number, or the smallest ones where rows have no number; rows whose number is
-    null come last. One scan tests each cell once and counts per column and slot
-    of rows, combined before the shuffle. It also keeps the first filled row of
-    each slot: the third of these numbers is no less than the third of all, so
-    only values up to it can be examples, and no other cell is ranked.
+    null come last. One scan tests each cell once, and rows with cells of the
+    same kinds are counted together, by slot, before they are taken apart by
+    column. It also keeps the first filled row of each slot: the third of these
+    numbers is no less than the third of all, so only values up to it can be
+    examples, and no other cell is ranked.
     """
     names = [c for c in (columns or df.columns) if c != row_number]
     last = F.lit(2**63 - 1)
     order = F.coalesce(F.col(f"`{row_number}`").cast("long"), last) if has(df, row_number) else F.lit(0).cast("long")
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("raw")) for i, c in enumerate(names)])
     rows = df.select(order.alias("_row"), cells.alias("_cells"))
-    value = F.col("value")
-    number = F.translate(value, "$,()%", "").rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
-    slot = F.pmod(F.xxhash64("_row"), F.lit(SLOTS)).alias("_slot")
-    per_slot = rows.select("_row", F.inline("_cells")).withColumn("value", clean_text("raw")).groupBy("i", slot).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count(value).alias("filled"),
-        F.count_if(dates.parse_date(value).isNotNull()).alias("dates"),
-        F.count_if(number).alias("numbers"),
-        F.count_if(F.lower(value).isin(*BOOLEAN_WORDS)).alias("booleans"),
-        F.min(F.when(value.isNotNull(), F.col("_row"))).alias("first"),
-        F.max(F.when(value.isNotNull(), F.col("_row"))).alias("last"),
+    value, slot = F.col("value"), F.pmod(F.xxhash64("_row"), F.lit(SLOTS)).alias("_slot")
+    texts = df.select(order.alias("_row"), *[F.col(f"`{c}`").cast("string").alias(f"_{i}") for i, c in enumerate(names)])
+    texts = texts.select("_row", *[clean_text(f"_{i}").alias(f"_{i}") for i in range(len(names))])
+    kinds = F.array(*[_kinds(f"_{i}") for i in range(len(names))]).alias("_kinds")
+    # Rows are few kinds of rows: they are counted before any is taken apart into cells.
+    per_kind = texts.select("_row", kinds).groupBy("_kinds", slot).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_first"), F.max("_row").alias("_last"))
+    # The outer form: of the other one Spark infers a test of the array, and would make it twice for each row.
+    per_cell = per_kind.select("_slot", "n", "_first", "_last", F.posexplode_outer("_kinds").alias("i", "_kind"))
+    of = lambda kind, c="n": F.when(F.col("_kind").bitwiseAND(F.lit(kind)) > 0, F.col(c))
+    per_slot = per_cell.groupBy("i", "_slot").agg(
+        total("n").alias("rows"), total(of(FILLED)).alias("filled"), total(of(DATE)).alias("dates"), total(of(NUMERIC)).alias("numbers"),
+        total(of(BOOLEAN)).alias("booleans"), F.min(of(FILLED, "_first")).alias("first"), F.max(of(FILLED, "_last")).alias("last"),
     )
     sums = per_slot.groupBy("i").agg(
         *[total(c).alias(c) for c in ("rows", "filled", "dates", "numbers", "booleans")],
@@ -57,7 +73,9 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, row_num
     both = F.struct(F.collect_list(F.struct(*sums.columns)).alias("sums"), F.map_from_entries(F.collect_list(F.struct("i", "bound"))).alias("bounds"))
     state = sums.agg(both.alias("v")).scalar()
     early = F.filter("_cells", lambda cell: F.col("_row") <= F.col("_bounds")[cell["i"]])
-    found = rows.withColumn("_bounds", state.getField("bounds")).select("_row", F.inline(early)).withColumn("value", clean_text("raw")).filter(value.isNotNull())
+    # Most rows come after every bound; they are left out before their cells are made.
+    most = F.array_max(F.map_values(state.getField("bounds")))
+    found = rows.filter(F.col("_row") <= most).withColumn("_bounds", state.getField("bounds")).select("_row", F.inline(early)).withColumn("value", clean_text("raw")).filter(value.isNotNull())
     # The rank limit works before the shuffle too, so a few rows a task and column move.
     place = F.row_number().over(Window.partitionBy("i").orderBy("_row", "value"))
     first = found.withColumn("_place", place).filter(F.col("_place") <= EXAMPLES)

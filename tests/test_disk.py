@@ -1,12 +1,16 @@
 """What loads, sets and exports leave on disk, and that nothing moves which lies right already."""
 
+import gzip
+import os
 from contextlib import nullcontext
 
 import pytest
 from pyspark.sql import functions as F
 
 from boxline.operators import customers as cust
+from boxline.plans import queries
 from boxline.sources import facts, publish, session, star, tables
+from boxline.sources.csv import read_export
 
 
 def shuffle_files(spark) -> set[str]:
@@ -61,3 +65,27 @@ def test_facts_finished_in_their_bucket(spark, tmp_path):
     late, early = (facts.read_facts(spark, str(tmp_path / n), by=()) for n in ("late", "early"))
     assert late.exceptAll(early).isEmpty() and early.exceptAll(late).isEmpty() and late.count() == 2000
     assert cust.CUSTOMER_KEY in late.columns and late.filter("customer_id is null").select(cust.CUSTOMER_KEY).distinct().count() > 100
+
+
+def test_mixed_export_is_small_and_reads_as_plain_text(spark, tmp_path, monkeypatch):
+    """Compressed files give the same rows, numbers and rejects as their text, and printing them leaves no shuffle files."""
+    some = spark.range(600, numPartitions=3).select(
+        F.concat(F.lit("t"), "id").alias("txn_id"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("say \"hi\", o"), F.col("id") % 40)).alias("order_number"),
+        F.element_at(F.array(*map(F.lit, ("Adult", "Group", "Junior"))), (F.col("id") % 3 + 1).cast("int")).alias("price_code"), F.lit("Online").alias("channel"),
+        F.when(F.col("id") % 5 == 0, "REFUNDED").otherwise("Sold").alias("ticket_status"),
+    )
+    monkeypatch.setattr(queries, "raw_tickets", lambda spark, sf_dir: some.unionByName(some.limit(20)).repartition(3, "txn_id"))
+    before = shuffle_files(spark)
+    folder = queries.mixed_export(spark, "")
+    assert shuffle_files(spark) <= before
+    packed = [f for f in os.listdir(folder) if f.startswith("part-")]
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    for name in packed:
+        (plain / name.removesuffix(".gz")).write_bytes(gzip.decompress(open(f"{folder}/{name}", "rb").read()))
+    assert all(f.endswith(".gz") for f in packed) and sum(os.path.getsize(f"{folder}/{f}") for f in packed) * 2 < sum(f.stat().st_size for f in plain.iterdir())
+    loads = [read_export(spark, str(p)) for p in (folder, plain)]
+    assert sorted(p.encoding for p in loads[0].parts) == sorted(p.encoding for p in loads[1].parts) and len(loads[0].parts) > 1
+    shown = lambda rows: sorted(str({**r.asDict(), "source_file": r["source_file"].removesuffix(".gz")}) for r in rows.collect())
+    frames, rejects = [shown(x.frame) for x in loads], [shown(x.rejects) for x in loads]
+    assert frames[0] == frames[1] and rejects[0] == rejects[1] and len(rejects[0]) > 30 and len(frames[0]) + len(rejects[0]) == 620
